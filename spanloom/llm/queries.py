@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .pii import op7_pii
 from .simhash import op1_simhash
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash,)}
+    return {f.__name__: f for f in (op1_simhash, op7_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
