@@ -5,10 +5,11 @@ from __future__ import annotations
 from .packing import op2_packing
 from .pii import op7_pii
 from .simhash import op1_simhash
+from .token_matrix import op8_token_matrix
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op7_pii)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op7_pii, op8_token_matrix)}
 
 
 def oracle_sql() -> dict[str, str]:
