@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op3_embedding_dedup
+from .langid import op5_langid
 from .packing import op2_packing
 from .pii import op7_pii
 from .simhash import op1_simhash
@@ -9,7 +11,7 @@ from .token_matrix import op8_token_matrix
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op7_pii, op8_token_matrix)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_embedding_dedup, op5_langid, op7_pii, op8_token_matrix)}
 
 
 def oracle_sql() -> dict[str, str]:
