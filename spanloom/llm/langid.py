@@ -22,6 +22,7 @@ from .common import table
 BITS = 17
 #: About so many labelled documents of each language are learned from, whatever the size of the input.
 DOCS_PER_LANG = 2000
+SMOOTH = 0.01
 UNKNOWN = "und"
 _SLICE = 1 << 19
 _ORDERS = ((0x9E3779B1, 0, 0), (0x85EBCA77, 0xC2B2AE3D, 0), (0x27D4EB2F, 0x165667B1, 0xD3A2646C))
@@ -136,7 +137,7 @@ def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
     grams = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((1 << BITS, len(langs)))
     counts[grams["gram"].to_numpy(dtype=np.int64), grams["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int64)] = grams["n"].to_numpy(dtype=np.int64)
-    return Model(langs, np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * (1 << BITS))).astype(np.float32))
+    return Model(langs, np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * (1 << BITS))).astype(np.float32))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

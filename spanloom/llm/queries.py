@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .embedding_dedup import op3_embedding_dedup
+from .hamming_topk import ORACLE as TOPK_SQL, op10_topk
 from .langid import op5_langid
 from .packing import op2_packing
 from .pii import op7_pii
@@ -11,8 +12,8 @@ from .token_matrix import op8_token_matrix
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_embedding_dedup, op5_langid, op7_pii, op8_token_matrix)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_embedding_dedup, op5_langid, op7_pii, op8_token_matrix, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_topk": TOPK_SQL}
