@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .embedding_dedup import op3_embedding_dedup
 from .hamming_topk import ORACLE as TOPK_SQL, op10_topk
+from .html_text import op4_html_text
 from .langid import op5_langid
 from .mixing import op6_mixing
 from .packing import op2_packing
@@ -13,7 +14,7 @@ from .token_matrix import op8_token_matrix
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_embedding_dedup, op5_langid, op6_mixing, op7_pii, op8_token_matrix, op10_topk)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_embedding_dedup, op4_html_text, op5_langid, op6_mixing, op7_pii, op8_token_matrix, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
