@@ -25,11 +25,11 @@ TRAINING_PAGES = 700
 _OPEN, _SHUT = "␂", "␃"
 
 
-def features(block: Block, at: int, of: int) -> list[str]:
+def features(block: Block) -> list[str]:
     """The features of a block: what stands above it and how its text looks."""
     text = block.text
     n, words = len(text), text.count(" ") + 1
-    out = ["bias", f"len={min(n, 1 << 12).bit_length()}", f"link={round(4 * block.link_chars / n)}", f"last={text[-1] if text[-1] in '.!?:…' else ''}"]
+    out = ["bias", f"len={min(n, 1 << 9).bit_length()}", f"link={round(4 * block.link_chars / n)}", f"last={text[-1] if text[-1] in '.!?:…' else ''}"]
     out += [f"tag={t}" for t in set(block.tags)]
     out += [f"name={t}" for t in block.names]
     out.append(f"leaf={block.tags[-1] if block.tags else ''}")
@@ -39,15 +39,11 @@ def features(block: Block, at: int, of: int) -> list[str]:
         out.append("copyright")
     if block.is_hidden:
         out.append("hidden")
-    if at == 0:
-        out.append("first")
-    if at == of - 1:
-        out.append("last-block")
     return out
 
 
 def sequence(blocks: list[Block]) -> list[list[str]]:
-    return [features(b, i, len(blocks)) for i, b in enumerate(blocks)]
+    return [features(b) for b in blocks]
 
 
 def _labelled(seed: int) -> tuple[list[list[str]], list[int]]:
