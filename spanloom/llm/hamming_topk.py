@@ -15,11 +15,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import keep, table
 
-K, SALTS = 10, 16
+K, SALTS, _BATCH = 10, 16, 1 << 18
 
 
 def sign_code(embedding: str):
@@ -92,16 +94,24 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 def _probe(pending: DataFrame, shelves: DataFrame, segments: list[tuple[int, int]], r: int) -> DataFrame:
     """Verified candidates that the open queries first meet in round r and that their bounds don't rule out."""
-    m, probes = len(segments), []
-    for s, (low, width) in enumerate(segments):
-        flips = [sum(1 << b for b in bits) for bits in combinations(range(width), r)]
-        # radii r - 1 cover m * r - 1; each segment grown to r covers one more
-        wanted = pending.where(F.col("bound") > m * r - 1 + s) if s else pending
-        masks = F.explode(F.array(*[F.lit(x).cast("long") for x in flips])) if len(flips) <= 4096 else F.explode(_wide(width, r))
-        probes.append(wanted.select("q", "bound", masks.alias("flip")).select("q", "bound", F.lit(s).alias("seg"), _part(F.col("q"), low, width).bitwiseXOR(F.col("flip")).alias("key")))
-    probe = probes[0]
-    for p in probes[1:]:
-        probe = probe.unionByName(p)
+    m = len(segments)
+    flips = [np.array([sum(1 << b for b in bits) for bits in combinations(range(width), r)], dtype=np.int64) for _, width in segments]
+
+    def balls(it):
+        for b in it:
+            codes, bounds = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for s, (low, width) in enumerate(segments):
+                # radii r - 1 cover m * r - 1; each segment grown to r covers one more
+                own = codes[bounds > m * r - 1 + s] if s else codes
+                own_bounds = bounds[bounds > m * r - 1 + s] if s else bounds
+                part = (own.view(np.uint64) >> np.uint64(low)).astype(np.int64) & ((1 << width) - 1)
+                step = max(1, _BATCH // len(flips[s]))
+                for at in range(0, len(own), step):
+                    keys = part[at : at + step, None] ^ flips[s][None, :]
+                    columns = np.repeat(own[at : at + step], len(flips[s])), np.repeat(own_bounds[at : at + step], len(flips[s])), np.full(keys.size, s, dtype=np.int32), keys.ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q", "bound", "seg", "key"])
+
+    probe = pending.select("q", "bound").mapInArrow(balls, "q long, bound int, seg int, key long")
     differ = probe["q"].bitwiseXOR(shelves["code"])
     apart = [F.bit_count(_part(differ, *cut)) for cut in segments]
     # met in an earlier round, or in this one through an earlier segment: counted there
@@ -112,12 +122,8 @@ def _probe(pending: DataFrame, shelves: DataFrame, segments: list[tuple[int, int
             earlier = earlier & (apart[t] > (r if t < s else r - 1))
         fresh = fresh & ((probe["seg"] != s) | earlier)
     on = (probe["seg"] == shelves["seg"]) & (probe["key"] == shelves["key"]) & fresh & (F.bit_count(differ) <= probe["bound"])
-    return probe.join(shelves, on).select("q", "code", F.bit_count(differ).cast("int").alias("distance"), "first_id", "copies")
-
-
-def _wide(width: int, r: int):
-    """All values of ``width`` bits with r ones, filtered from a sequence where a literal array would be too long."""
-    return F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << width) - 1).cast("long")), lambda x: F.bit_count(x) == r)
+    # a probe table is far larger than its source's size suggests: it must never be broadcast
+    return probe.hint("merge").join(shelves, on).select("q", "code", F.bit_count(differ).cast("int").alias("distance"), "first_id", "copies")
 
 
 def op10_topk(spark, sf_dir):

@@ -97,7 +97,8 @@ def link_fingerprints(fps, radius: int = 4):
     probe = fps.select(F.col("fp").alias("src"), F.explode(reduce(F.concat, balls)).alias("k")).select("src", "k.seg", "k.key")
     near = (F.col("src") < F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= radius)
     on = (probe.seg == kept.seg) & (probe.key == kept.key) & near
-    return probe.join(kept, on).select("src", "dst")
+    # a probe table is far larger than its source's size suggests: it must never be broadcast
+    return probe.hint("merge").join(kept, on).select("src", "dst")
 
 
 def near_duplicates(docs, radius: int = 4):
