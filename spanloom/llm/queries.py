@@ -7,6 +7,7 @@ from .hamming_topk import ORACLE as TOPK_SQL, op10_topk
 from .html_text import op4_html_text
 from .langid import op5_langid
 from .mixing import op6_mixing
+from .ngram_lm import op9_lm_score
 from .packing import op2_packing
 from .pii import op7_pii
 from .simhash import op1_simhash
@@ -14,7 +15,9 @@ from .token_matrix import op8_token_matrix
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_embedding_dedup, op4_html_text, op5_langid, op6_mixing, op7_pii, op8_token_matrix, op10_topk)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_simhash, op2_packing, op3_embedding_dedup, op4_html_text, op5_langid, op6_mixing, op7_pii, op8_token_matrix, op9_lm_score, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
