@@ -156,6 +156,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def batches(it):
+        for b in it:
+            yield b.filter(pa.array([detect(t.as_py(), shared.value)[0] != UNKNOWN for t in b.column("text")], type=pa.bool_()))
+
+    return docs.mapInArrow(batches, docs.schema)
+
+
 def op5_langid(spark, sf_dir):
     """doc_id, held_out, lang_pred and score of every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
