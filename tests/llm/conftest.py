@@ -1,23 +1,4 @@
-import os
-
 import pytest
-from pyspark.sql import SparkSession
-
-
-@pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    folder = tmp_path_factory.mktemp("shared")
-    os.environ.setdefault("OMP_NUM_THREADS", "1")
-    s = (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", f"file://{folder}")
-        .getOrCreate()
-    )
-    s.sparkContext.setLogLevel("ERROR")
-    yield s
 
 
 @pytest.fixture(scope="session")
