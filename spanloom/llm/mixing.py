@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import keep, table
 
-LEVELS, SEED, BUCKET_ROWS, MAX_LEAVES = ("domain", "lang", "source"), 20240, 10_000, 100_000
+LEVELS, SEED, BUCKET_ROWS, MAX_LEAVES = ("domain", "lang", "source"), 20240, 1_000, 100_000
 DOMAINS = 4
 NULL = "\u0000"
 
