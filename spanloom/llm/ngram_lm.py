@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import buckets_for, table
 from .elias_fano import BigramTrie
 
-DISCOUNT, CHUNK_BYTES, PIECE_BYTES = 0.75, 12 << 20, 1 << 20
+DISCOUNT, CHUNK_BYTES, PIECE_BYTES = 0.75, 8 << 20, 1 << 20
 _STEP = 12.0 / 254  # decimal logarithms from 0 down to -12 in codes 1..255; code 0 is "none"
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _MULTIPLIER = 0x9E3779B97F4A7C15
