@@ -15,7 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import spread, table
 from .crf import ChainCRF
 from .html_blocks import Block, parse
 from .training_pages import labelled_page
@@ -81,7 +81,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    return pages.select("page_id", "url", "html").mapInArrow(batches, "page_id long, url string, text string, n_chars long")
+    return spread(pages.select("page_id", "url", "html")).mapInArrow(batches, "page_id long, url string, text string, n_chars long")
 
 
 def op4_html_text(spark, sf_dir):

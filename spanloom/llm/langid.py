@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table
+from .common import spread, table
 
 BITS = 17
 #: About so many labelled documents of each language are learned from, whatever the size of the input.
@@ -124,17 +124,24 @@ def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
 
     def count(it):
         totals: dict[str, np.ndarray] = {}
+        held: dict[str, list[np.ndarray]] = {}
+
+        def add(lang: str) -> None:
+            totals[lang] = totals.get(lang, 0) + np.bincount(np.concatenate(held.pop(lang)), minlength=1 << BITS)
+
         for b in it:
             for text, lang in zip(b.column(1), b.column(2).to_pylist()):
-                total = totals.setdefault(lang, np.zeros(1 << BITS, dtype=np.int64))
                 for piece in _slices(text.as_py()):
-                    for index in _grams(piece)[0]:
-                        total += np.bincount(index, minlength=1 << BITS)
+                    held.setdefault(lang, []).extend(_grams(piece)[0])
+                    if sum(map(len, held[lang])) > 1 << 21:
+                        add(lang)
+        for lang in list(held):
+            add(lang)
         for lang, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(total[at])], names=["lang", "gram", "n"])
 
-    grams = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    grams = spread(sample).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((1 << BITS, len(langs)))
     counts[grams["gram"].to_numpy(dtype=np.int64), grams["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int64)] = grams["n"].to_numpy(dtype=np.int64)
     return Model(langs, np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * (1 << BITS))).astype(np.float32))
@@ -153,7 +160,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "lang_pred", "score"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, lang_pred string, score double")
+    return spread(docs.select("doc_id", "text")).mapInArrow(batches, "doc_id long, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, model: Model) -> DataFrame:
@@ -164,7 +171,7 @@ def recognised(docs: DataFrame, model: Model) -> DataFrame:
         for b in it:
             yield b.filter(pa.array([detect(t.as_py(), shared.value)[0] != UNKNOWN for t in b.column("text")], type=pa.bool_()))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return spread(docs).mapInArrow(batches, docs.schema)
 
 
 def op5_langid(spark, sf_dir):

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import buckets_for, keep, salted_rank, table
+from .common import buckets_for, keep, salted_rank, spread, table
 from .cutting_stock import plan
 from .tokens import encode
 
@@ -38,7 +38,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(batches, _PIECE)
+    return spread(docs.select("doc_id", "text")).mapInArrow(batches, _PIECE)
 
 
 def _places(histogram: dict[int, int], capacity: int) -> pd.DataFrame:

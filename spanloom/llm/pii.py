@@ -14,7 +14,7 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table
+from .common import spread, table
 
 THRESHOLD = 0.5
 WINDOW = 48
@@ -139,7 +139,7 @@ def detect(docs: DataFrame) -> DataFrame:
             rows = [[dict(zip(("kind", "start", "end", "score"), s)) for s in find_spans(t.as_py())] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, type=kind)], names=["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id long, spans {_SPANS}")
+    return spread(docs.select("doc_id", "text")).mapInArrow(batches, f"doc_id long, spans {_SPANS}")
 
 
 def redact_texts(docs: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def redact_texts(docs: DataFrame) -> DataFrame:
             i = b.schema.get_field_index("text")
             yield b.set_column(i, b.schema.field(i), pa.array([redact(t.as_py()) for t in b.column(i)], type=pa.string()))
 
-    return docs.mapInArrow(batches, docs.schema).withColumn("n_chars", F.char_length("text").cast("long"))
+    return spread(docs).mapInArrow(batches, docs.schema).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op7_pii(spark, sf_dir):

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import forget, keep, table
+from .common import forget, keep, spread, table
 from .components import connected_components
 
 _BLOCK = 1 << 16
@@ -52,7 +52,7 @@ def fingerprint_batches(batches):
 
 def fingerprints(docs):
     """(doc_id, fp) for every row of ``docs(doc_id, text)``.  Null and wordless texts have fingerprint 0."""
-    return docs.select("doc_id", "text").mapInArrow(fingerprint_batches, "doc_id long, fp long")
+    return spread(docs.select("doc_id", "text")).mapInArrow(fingerprint_batches, "doc_id long, fp long")
 
 
 def plan_segments(rows: int, radius: int) -> list[tuple[int, int, int]]:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import spread, table
 from .tokens import encode
 
 ROW_TOKENS, MATRIX_ROWS, WINDOW_TOKENS, PAD_ID = 2048, 128, 1 << 21, 0
@@ -128,7 +128,7 @@ def token_matrices(docs: DataFrame, row_tokens: int = ROW_TOKENS, matrix_rows: i
                         window, held = [], 0
         yield from _matrices(window, (part << 32) + made, row_tokens, matrix_rows)
 
-    return docs.select("doc_id", "text").mapInArrow(batches, MATRIX_DDL)
+    return spread(docs.select("doc_id", "text")).mapInArrow(batches, MATRIX_DDL)
 
 
 def write_matrices(matrices: DataFrame, path: str) -> None:
