@@ -95,9 +95,17 @@ def json_schema(text: Column, schema: Mapping, strict: bool = True, threshold: f
     """
     checks: list[tuple[float, Column]] = []
 
-    def walk(path: str, s: Mapping, must: bool) -> None:
-        value = F.get_json_object(text, path)
-        kind = F.schema_of_variant(F.try_parse_json(F.to_json(F.try_variant_get(F.try_parse_json(text), path, "variant"))))
+    # the text is parsed once: what follows is the body of a function of its variant
+    def body(doc: Column) -> Column:
+        checks.clear()
+        walk(doc, "$", schema, True)
+        total = sum(w for w, _ in checks) or 1.0
+        share = sum((F.when(c, w).otherwise(0.0) for w, c in checks), F.lit(0.0)) / total
+        return F.when(doc.isNotNull(), share if checks else F.lit(1.0)).otherwise(0.0)
+
+    def walk(doc: Column, path: str, s: Mapping, must: bool) -> None:
+        value = F.try_variant_get(doc, path, "string")
+        kind = F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
         number, ok, wanted = value.try_cast("double"), F.lit(True), s.get("type")
         if wanted in ("number", "integer"):
             ok = ok & kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
@@ -118,17 +126,13 @@ def json_schema(text: Column, schema: Mapping, strict: bool = True, threshold: f
         elif wanted:
             checks.append((1.0, ok))
         for name, sub in s.get("properties", {}).items():
-            walk(f"{path}.{name}", sub, name in s.get("required", ()))
+            walk(doc, f"{path}.{name}", sub, name in s.get("required", ()))
         for name in s.get("required", ()):
             if name not in s.get("properties", {}):
-                checks.append((2.0, F.get_json_object(text, f"{path}.{name}").isNotNull()))
-
-    walk("$", schema, True)
-    total = sum(w for w, _ in checks) or 1.0
-    share = sum((F.when(c, w).otherwise(0.0) for w, c in checks), F.lit(0.0)) / total
-    valid = F.try_parse_json(text).isNotNull()
-    share = F.when(valid, share if checks else F.lit(1.0)).otherwise(0.0)
-    return _grade((share == 1.0).cast("double"), share == 1.0) if strict else _grade(share, share >= threshold)
+                checks.append((2.0, F.try_variant_get(doc, f"{path}.{name}", "variant").isNotNull()))
+
+    share = F.transform(F.array(F.try_parse_json(text)), body)[0]
+    return F.transform(F.array(share), lambda x: _grade((x == 1.0).cast("double"), x == 1.0) if strict else _grade(x, x >= threshold))[0]
 
 
 def structure(text: Column, fmt: str, required: Sequence[str] = ()) -> Column:

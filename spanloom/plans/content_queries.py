@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..functions.partitions import spread
 from ..operators import content_graders as c, insights, lookups, redaction
 from ..operators.process_graders import matches_tool
 from ..streaming.windows import sessions, sliding, tumbling
@@ -13,11 +14,14 @@ from .registry import query
 from .rollup_queries import rounded
 
 
+def _documents(spark, sf_dir):
+    return spread(v.read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("q34_leak_detection", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) > 0")
 def q34(spark, sf_dir):
-    docs = v.read(spark, sf_dir, "documents").select("doc_id", "text")
-    marks = v.read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("marker"))
-    return lookups.find_markers(docs, marks).select("doc_id", "item_id")
+    docs = _documents(spark, sf_dir)
+    return lookups.find_markers(docs, v.read(spark, sf_dir, "benchmark"), marker_id="item_id", marker="text")
 
 
 @query("q35_style_lengths", r"""SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS words, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines,
@@ -25,14 +29,14 @@ def q34(spark, sf_dir):
 def q35(spark, sf_dir):
     t = F.col("text")
     grade = c.expected_block(t, min_words=20, max_words=400)
-    return v.read(spark, sf_dir, "documents").select("doc_id", F.length(t).alias("chars"), s.words(t).alias("words"), s.lines(t).alias("lines"), grade["passed"].alias("fits"))
+    return _documents(spark, sf_dir).select("doc_id", F.length(t).alias("chars"), s.words(t).alias("words"), s.lines(t).alias("lines"), grade["passed"].alias("fits"))
 
 
 @query("q36_style_phrases", r"""WITH d AS (SELECT doc_id, contains(lower(text), 'the') AND NOT contains(lower(text), 'licensed') AS phrases, len(regexp_extract_all(text, '\S+')) <= 300 AND len(string_split(text, chr(10))) <= 12 AS length FROM documents)
   SELECT doc_id, round((phrases::INT + length::INT) / 2, 6) AS score, phrases AND length AS passed FROM d""")
 def q36(spark, sf_dir):
     g = c.style(F.col("text"), max_words=300, max_lines=12, required_phrases=["The"], forbidden_phrases=["Licensed"])
-    return rounded(v.read(spark, sf_dir, "documents").select("doc_id", g.alias("g")).select("doc_id", "g.score", "g.passed"), "score")
+    return rounded(_documents(spark, sf_dir).select("doc_id", g.alias("g")).select("doc_id", "g.score", "g.passed"), "score")
 
 
 _MARKDOWN = "'# ' || p_name || chr(10) || 'body' || chr(10) || CASE WHEN p_size % 3 = 0 THEN '### ' ELSE '## ' END || p_brand || chr(10) || CASE WHEN p_size % 5 = 0 THEN '```' || chr(10) ELSE '' END || p_type"
@@ -178,7 +182,7 @@ def sweep_summary(results):
   CAST(len(regexp_extract_all(text, 'AKIA[A-Z0-9]{16}')) AS INTEGER) AS aws FROM documents""")
 def q51(spark, sf_dir):
     n = redaction.counts(F.col("text"))
-    return v.read(spark, sf_dir, "documents").select("doc_id", n["secret_assignment"].alias("secrets"), n["aws_access_key"].alias("aws"))
+    return _documents(spark, sf_dir).select("doc_id", n["secret_assignment"].alias("secrets"), n["aws_access_key"].alias("aws"))
 
 
 @query("q52_reviewer_drift", """WITH d AS (SELECT l_suppkey AS reviewer, l_partkey % 50 AS anchor, CAST(l_linenumber % 2 AS VARCHAR) AS criterion, abs(l_discount * 10 - (l_partkey % 50) / 50) AS drift FROM lineitem)
