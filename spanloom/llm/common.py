@@ -13,6 +13,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.partitions import spread
+
+__all__ = ["buckets_for", "forget", "keep", "salted_rank", "scratch_root", "spread", "table"]
+
 _SCRATCH: dict[str, list[str]] = {}
 
 
@@ -87,11 +91,3 @@ def salted_rank(df: DataFrame, key: str, order: str, n_buckets: int, rank: str =
     within = Window.partitionBy(key, "_b").orderBy(order)
     d = d.withColumn("_r", F.row_number().over(within) - 1)
     return d.join(sizes, [key, "_b"]).withColumn(rank, F.col("_r") + F.col("_shift")).drop("_b", "_r", "_shift")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores where it is a bare scan in far fewer pieces (small files in few row groups)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString() or 2 * df.rdd.getNumPartitions() > cores:
-        return df
-    return df.repartition(cores)
