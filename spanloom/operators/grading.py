@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.scenario import Case, Grader, Scenario, case_specs
-from . import coding_graders as code, content_graders as content, process_graders as process, rollup
+from . import coding_graders as code, content_graders as content, image_graders as image, process_graders as process, rollup
 
 #: name -> (scope, factory of a struct column (score, passed, ...) from a config)
 GRADERS: dict[str, tuple[str, Callable[[Mapping], Column]]] = {}
@@ -73,6 +73,23 @@ register_grader("lint")(lambda c: code.lint(_meta("lint.stdout"), **_only(c, max
 register_grader("type_check")(lambda c: code.type_check(_meta("types.stdout"), **_only(c, max_errors="max_errors")))
 register_grader("security_scan")(lambda c: code.security_scan(answer(), _meta("bandit"), **_only(c, severity_threshold="fail_at", blocked_patterns="blocked")))
 register_grader("diff_size")(lambda c: code.diff_size(_meta("diff"), **_only(c, max_lines_added="max_added", max_lines_removed="max_removed", max_total_changes="max_total")))
+register_grader("semantic_match")(lambda c: content.semantic_match(_vector("embedding"), _vector("reference_embedding"), **_only(c, threshold="threshold")))
+register_grader("aesthetic_score")(lambda c: image.aesthetic_score(_meta("aesthetic").try_cast("double"), **_only(c, max_score="top", min_score="least")))
+register_grader("safety_check")(lambda c: image.safety_check(_from_meta("safety", "map<string,double>"), c.get("thresholds") or {"nsfw": 0.5}, _meta("blocked").try_cast("boolean"), bool(c.get("expect_blocked"))))
+register_grader("human_review")(lambda c: image.human_review(_from_meta("review", "map<string,double>"), c.get("criteria") or ["overall"], *c.get("scale", (1.0, 5.0))))
+register_grader("pairwise_comparison")(lambda c: image.pairwise_comparison(_meta("preference"), _meta("confidence").try_cast("double"), **_only(c, expected="expected")))
+for _name, _make in (("image_assertions", image.image_assertions), ("technical_quality", image.technical_quality)):
+    register_grader(_name)(lambda c, make=_make: make(F.unbase64(_meta("image_base64")), **c))
+for _name, _make in (("edit_locality", image.edit_locality), ("edit_preservation", image.edit_preservation)):
+    register_grader(_name)(lambda c, make=_make: make(F.unbase64(_meta("original_base64")), F.unbase64(_meta("image_base64")), **c))
+
+
+def _from_meta(path: str, kind: str) -> Column:
+    return F.from_json(_meta(path), kind)
+
+
+def _vector(path: str) -> Column:
+    return _from_meta(path, "array<double>")
 
 
 def _meta(path: str) -> Column:
