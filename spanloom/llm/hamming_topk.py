@@ -138,7 +138,7 @@ ORACLE = """
 WITH v AS (SELECT DISTINCT vec_id, embedding AS e FROM embeddings WHERE embedding IS NOT NULL),
 pairs AS (
   SELECT q.vec_id AS query_vec_id, r.vec_id AS vec_id,
-         CAST(list_sum(list_transform(range(1, 65), i -> CASE WHEN (q.e[i] > 0) <> (r.e[i] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+         CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (q.e[i] > 0) <> (r.e[i] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance
   FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0
 ),
 ranked AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from .embedding_dedup import op3_embedding_dedup
+from .embedding_dedup import ORACLE as EMBEDDING_SQL, op3_embedding_dedup
 from .hamming_topk import ORACLE as TOPK_SQL, op10_topk
 from .html_text import op4_html_text
 from .langid import op5_langid
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk": TOPK_SQL}
+    return {"op3_embedding_dedup": EMBEDDING_SQL, "op10_topk": TOPK_SQL}
