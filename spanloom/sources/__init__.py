@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import agents, native, otlp
+from . import agents, native, openai_agents, otlp
 from .files import detect, json_lines, json_values, whole_files
 
 PARSERS = {
     "native": (native.parse_native, json_values), "event_log": (native.parse_event_log, json_lines), "otlp": (otlp.parse_otlp, json_values), "pi": (agents.parse_pi, json_lines),
     "pi_stream": (agents.parse_pi_stream, json_lines), "codex": (agents.parse_codex, json_lines), "claude": (agents.parse_claude, json_values), "atif": (agents.parse_atif, json_values),
+    "openai_agents": (openai_agents.parse_openai_agents, json_values),
 }
 
 

@@ -42,6 +42,7 @@ def detect(content: Column) -> Column:
     return (
         F.when(F.coalesce(get(head, "$.schema_version").startswith("ATIF"), F.lit(False)), "atif")
         .when(has("$.resourceSpans") | has("$.scopeSpans") | has("$.spans") | (has("$.traceId") & has("$.spanId")) | has("$.context.trace_id"), "otlp")
+        .when((get(head, "$.object") == "trace.span") | has("$.span_data.type"), "openai_agents")
         .when(kind == "transcript.started", "event_log")
         .when(has("$.task_id") & has("$.trial_id"), "native")
         .when(kind == "session", "pi")

@@ -140,6 +140,17 @@ def test_atif_with_sub_agent(spark, tmp_path):
     assert t.tool_calls[0].input_tokens == 6
 
 
+def test_openai_agents_spans(spark, tmp_path):
+    span = lambda i, p, k, a, b, **data: {"object": "trace.span", "trace_id": "T", "id": i, "parent_id": p, "started_at": f"2024-01-01T00:00:{a:02d}Z", "ended_at": f"2024-01-01T00:00:{b:02d}Z", "span_data": {"type": k, **data}}
+    path = put(tmp_path, "o.jsonl", [
+        span("a", None, "agent", 0, 9, name="boss"), span("t", "a", "turn", 0, 8, turn=2), span("g", "t", "generation", 1, 3, model="m", output="hello", usage={"input_tokens": 3, "output_tokens": 4}),
+        {**span("f", "g", "function", 4, 5, name="look", input="x", mcp_data={"server": "s"}), "error": {"message": "bad"}}, span("h", "a", "handoff", 5, 5, from_agent="boss", to_agent="aide"), span("q", "a", "guardrail", 6, 6, name="safe", triggered=True),
+    ])
+    (t,) = read_traces(spark, path).collect()
+    assert (t.answer, t.duration_ms, t.reasoning, json.loads(t.metadata)) == ("hello", 4000.0, ["Handoff: boss -> aide"], {"guardrails": [{"name": "safe", "triggered": True}]})
+    assert [(c.tool_name, c.status, c.tokens, c.turn_index, c.agent_name, c.tool_type) for c in t.tool_calls] == [("llm.generation", "ok", 7, 2, "boss", "llm"), ("look", "error", None, 2, "boss", "mcp")]
+
+
 def test_a_mixed_folder_and_nothing(spark, tmp_path):
     put(tmp_path, "a.json", json.dumps(NATIVE))
     put(tmp_path, "c.jsonl", [{"type": "thread.started", "thread_id": "TH"}])
