@@ -94,7 +94,6 @@ def rules() -> list[tuple[str, str, str, object]]:
 def findings(commands: Column, categories: Sequence[str] = ()) -> Column:
     """(category, label, severity, evidence) of each rule that a command of a line meets."""
     before = lambda i: F.get(commands, i - 1)
-    null = F.lit(None).cast("string")
 
     def of(c: Column, i: Column) -> Column:
         text = F.concat_ws(" ", c["word"], F.array_join(c["args"], " "))

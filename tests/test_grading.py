@@ -2,16 +2,14 @@
 
 import json
 
-import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from spanloom.functions.shell import parse
 from spanloom.operators import grading
 from spanloom.operators.compare import compare, pair
 from spanloom.sources import read_traces
 from spanloom.sources.native import parse_event_log
-from spanloom.sources.results import grades, metric_rows, read_results, select_score, write_results
+from spanloom.sources.results import metric_rows, read_results, select_score, write_results
 from spanloom.sources.scenario import from_dict
 from spanloom.streaming.live import finished, grade_live, line_source
 
