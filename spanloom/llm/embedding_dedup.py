@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import buckets_for, forget, keep, table
+from .common import buckets_for, keep, table
 from .components import connected_components
 
 THRESHOLD, BLOCK_ROWS, STRIP_ROWS = 0.95, 4096, 512

@@ -9,7 +9,6 @@ texts and long runs of digits are safe.
 from __future__ import annotations
 
 import re
-from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
