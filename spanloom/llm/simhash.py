@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -55,19 +56,28 @@ def fingerprints(docs):
     return spread(docs.select("doc_id", "text")).mapInArrow(fingerprint_batches, "doc_id long, fp long")
 
 
+#: What sending a probe costs against testing one fingerprint that it meets.
+PROBE_COST = 20
+
+
 def plan_segments(rows: int, radius: int) -> list[tuple[int, int, int]]:
     """(low bit, width, ball radius) of each segment, by the general pigeonhole rule.
 
-    Segments are about as wide as log2(rows), so a bucket holds few fingerprints at any size.  The radii r_i
-    satisfy sum(r_i + 1) > ``radius``: fingerprints at distance ``radius`` or less then agree within r_i on
-    at least one segment i.
+    The radii r_i satisfy sum(r_i + 1) > ``radius``: fingerprints at distance ``radius`` or less then agree within
+    r_i on at least one segment i.  Of 2 to 8 segments that number is taken whose probes and meetings, for so many
+    evenly spread fingerprints, cost least; buckets stay small at any size.
     """
-    m = 4 if rows < 1 << 22 else 3 if rows < 1 << 30 else 2
-    cuts = [64 * i // m for i in range(m + 1)]
-    radii = [-1] * m
-    for k in range(radius + 1):
-        radii[k % m] += 1
-    return [(a, b - a, r) for a, b, r in zip(cuts, cuts[1:], radii) if r >= 0]
+
+    def cut(m: int) -> list[tuple[int, int, int]]:
+        cuts, radii = [64 * i // m for i in range(m + 1)], [-1] * m
+        for k in range(radius + 1):
+            radii[k % m] += 1
+        return [(a, b - a, r) for a, b, r in zip(cuts, cuts[1:], radii) if r >= 0]
+
+    def cost(segments: list[tuple[int, int, int]]) -> float:
+        return sum(sum(comb(w, i) for i in range(r + 1)) * (PROBE_COST + rows / 2**w) for _, w, r in segments)
+
+    return min(map(cut, range(2, 9)), key=cost)
 
 
 def _ball(width: int, radius: int) -> list[int]:
