@@ -1,7 +1,7 @@
 """Offline grading: traces and a scenario to grades, trials, cases and a run.
 
-Graders are registered factories of columns over a trace row (answer, tool_calls, ...).  Cases with one
-fingerprint share one projection.  Judges are callables on Arrow batches; without one their grade is unscored.
+Graders are registered factories of columns over a trace row (answer, tool_calls, ...).  All plans
+are columns of one projection.  Judges are callables on Arrow batches; without one their grade is unscored.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import json
 from collections.abc import Callable, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.scenario import Case, Grader, Scenario, case_specs
 from . import coding_graders as code, content_graders as content, image_graders as image, process_graders as process, rollup
@@ -181,7 +181,7 @@ def _plan(case: Case) -> Column:
 
 
 def grade_traces(traces: DataFrame, scenario: Scenario, done: DataFrame | None = None) -> DataFrame:
-    """Grades of every trace whose task is a case: one projection per distinct grader plan.
+    """Grades of every trace whose task is a case, all plans in one pass: cases of one fingerprint share a plan.
 
     Lossy traces are left out where a grader needs the outcome.  Of ``done(trace_id, fingerprint)`` traces graded
     under the same fingerprint are skipped.
@@ -190,34 +190,35 @@ def grade_traces(traces: DataFrame, scenario: Scenario, done: DataFrame | None =
     d = traces.join(F.broadcast(specs), traces["task_id"] == specs["case_id"])
     if done is not None:
         d = d.join(done.select("trace_id", "fingerprint"), ["trace_id", "fingerprint"], "left_anti")
-    plans, out = {c.fingerprint(): c for c in scenario.cases}, None
+    plans = {c.fingerprint(): c for c in scenario.cases if c.graders}
+    if not plans:
+        raise ValueError("no case has a grader")
+    chosen, mode = [], []
     for fp, case in plans.items():
-        if not case.graders:
-            continue
-        rows = d.where(F.col("fingerprint") == fp)
+        mine = F.col("fingerprint") == fp
+        mode.append(F.when(mine, F.lit(case.short_circuit)))
         if any(grade_column(g)[0] in ("outcome", "both") for g in case.graders):
-            rows = rows.where("supports_outcome")
-        part = rows.select("trace_id", "case_id", "trial_id", "expect", "fingerprint", F.explode(_plan(case)).alias("g")).select("trace_id", "case_id", "trial_id", "expect", "fingerprint", "g.*")
-        if case.short_circuit == "required_fail":
-            part = rollup.short_circuit(part, ("trace_id",)).drop("skip_reason")
-        elif case.short_circuit in ("code_fail", "code_pass"):
-            part = _skip_judges(part, case.short_circuit)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no case has a grader")
-    return out
-
-
-def _skip_judges(grades: DataFrame, mode: str) -> DataFrame:
-    """Skip judges where the code graders already decided."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("trace_id")
-    is_code = F.col("grader_type") == "code"
-    ok, n = F.min(F.when(is_code, F.col("passed").cast("int"))).over(w), F.count(F.when(is_code, 1)).over(w)
-    decided = (n > 0) & ((ok == 0) if mode == "code_fail" else (ok == 1))
-    skip = ~is_code & decided
-    return grades.withColumns({"skipped": F.col("skipped") | skip, "score": F.when(~skip, F.col("score"))})
+            mine = mine & F.col("supports_outcome")
+        chosen.append(F.when(mine, _plan(case)))
+    keys = ("trace_id", "case_id", "trial_id", "expect", "fingerprint")
+    out = d.select(*keys, F.coalesce(*mode).alias("mode"), F.explode(F.coalesce(*chosen)).alias("g")).select(*keys, "mode", "g.*")
+    return _short_circuited(out, {c.short_circuit for c in plans.values()}).drop("mode")
+
+
+def _short_circuited(grades: DataFrame, modes: set[str]) -> DataFrame:
+    """Skip what a trace's mode says: rows after a failed required one, or judges where code graders decided."""
+    skip = F.lit(False)
+    if "required_fail" in modes:
+        before = Window.partitionBy("trace_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        failed = F.max((F.col("required") & ~F.col("passed")).cast("int")).over(before)
+        skip = skip | ((F.col("mode") == "required_fail") & (F.coalesce(failed, F.lit(0)) == 1))
+    if modes & {"code_fail", "code_pass"}:
+        whole, is_code = Window.partitionBy("trace_id"), F.col("grader_type") == "code"
+        ok, n = F.min(F.when(is_code, F.col("passed").cast("int"))).over(whole), F.count(F.when(is_code, 1)).over(whole)
+        skip = skip | (~is_code & (n > 0) & (((F.col("mode") == "code_fail") & (ok == 0)) | ((F.col("mode") == "code_pass") & (ok == 1))))
+    if modes <= {"disabled"}:
+        return grades
+    return grades.withColumn("_skip", F.coalesce(skip, F.lit(False))).withColumns({"skipped": F.col("skipped") | F.col("_skip"), "score": F.when(~F.col("_skip"), F.col("score"))}).drop("_skip")
 
 
 def trials(grades: DataFrame, scenario: Scenario, traces: DataFrame) -> DataFrame:
@@ -227,8 +228,6 @@ def trials(grades: DataFrame, scenario: Scenario, traces: DataFrame) -> DataFram
         fps = [c.fingerprint() for c in scenario.cases if (c.threshold, tuple(c.required_graders)) == (threshold, required)]
         part = rollup.grade_rollup(grades.where(F.col("fingerprint").isin(fps)), threshold, required, ("trace_id", "case_id", "trial_id", "expect"))
         out = part if out is None else out.unionByName(part)
-    from pyspark.sql import Window
-
     t = rollup.invert_negative(out.withColumn("blocked", F.lit(False)))
     number = F.row_number().over(Window.partitionBy("case_id").orderBy("trial_id", "trace_id"))
     return t.join(traces.select("trace_id", "duration_ms"), "trace_id", "left").withColumns({"trial_number": number, "error": F.lit(None).cast("string")})

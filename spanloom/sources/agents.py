@@ -55,11 +55,15 @@ def active_branch(entries: DataFrame) -> DataFrame:
     leaf = keyed.groupBy("file").agg(F.max_by("id", "pos").alias("id"))
     up = keyed.select("file", "id", F.col("parent_id").alias("up"))
     marked = leaf
+    size = marked.count()
     while True:
-        marked = marked.persist()
         more = marked.join(up, ["file", "id"]).where("up IS NOT NULL").select("file", F.col("up").alias("id")).unionByName(marked).distinct().persist()
-        if more.count() == marked.count():
+        grown = more.count()
+        marked.unpersist()
+        if grown == size:
+            marked = more
             break
+        size = grown
         farther = up.alias("a").join(up.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("a.up") == F.col("b.id"))).select("a.file", "a.id", F.col("b.up").alias("up")).where("up IS NOT NULL")
         up, marked = up.unionByName(farther).distinct().persist(), more
     return entries.join(marked, ["file", "id"], "left_semi").unionByName(entries.where("id IS NULL"))
