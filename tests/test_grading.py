@@ -119,3 +119,9 @@ def test_live_traces_equal_replayed_ones(spark, tmp_path):
     q.awaitTermination(120)
     assert sorted(r.trace_id for r in got) == ["T0", "T1"] and all(r.tool_calls[0].tool_name == "a" and not r.timed_out for r in got)
     assert finished(line_source(spark, f"file://{tmp_path}/in")).isStreaming
+
+
+def test_rows_after_a_failed_required_grader_are_skipped(spark, traces):
+    s = from_dict({"cases": [{"id": "a", "aggregation": {"short_circuit": "required_fail"}, "graders": [{"name": "exact_match", "config": {"expected": "oh yes"}, "required": True}, {"name": "expected_text", "config": {"max_words": 9}}]}, {"id": "b", "expected": {"contains": "maybe"}}]})
+    got = {(r.case_id, r.trial_id, r.name): (r.skipped, r.score) for r in grading.grade_traces(traces, s).collect()}
+    assert got == {("a", "1", "exact_match"): (False, 1.0), ("a", "1", "expected_text"): (False, 1.0), ("a", "2", "exact_match"): (False, 0.0), ("a", "2", "expected_text"): (True, None), ("b", "1", "expected_text"): (False, 1.0)}
