@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import buckets_for, keep, table
 from .components import connected_components
 
-THRESHOLD, BLOCK_ROWS, STRIP_ROWS = 0.95, 4096, 512
+THRESHOLD, BLOCK_VALUES, STRIP_ROWS = 0.95, 1 << 19, 512
 _EXACT_DIM = 1 << 10
 
 
@@ -112,8 +112,11 @@ def _spanning(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         label = new
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of ``vectors(vec_id, embedding)``."""
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_values: int = BLOCK_VALUES) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row of ``vectors(vec_id, embedding)``.
+
+    A block holds about ``block_values`` components, whatever their number per vector, so a tile's memory is fixed.
+    """
     v = F.col("embedding")
     fine = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select("vec_id", "embedding").withColumn("fine", F.coalesce(fine, F.lit(False)))
@@ -123,7 +126,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows
     sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark, linked_rows = vectors.sparkSession, None
     for dim, n in sizes.items():
-        part = _tiles(classes.where(F.col("dim") == dim), buckets_for(n, block_rows), threshold)
+        part = _tiles(classes.where(F.col("dim") == dim), buckets_for(n, max(1, block_values // dim)), threshold)
         linked_rows = part if linked_rows is None else linked_rows.unionByName(part)
     if linked_rows is None:
         linked_rows = spark.createDataFrame([], "key long, links long, root long")

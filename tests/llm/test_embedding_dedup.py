@@ -44,8 +44,8 @@ def test_odd_vectors(spark):
     rows += [(200, None), (201, [0.0] * 8), (202, [1.0, None] + [0.0] * 6), (203, [float("nan")] * 8), (204, [float("inf")] + [1.0] * 7), (205, [])]
     rows += [(300, rows[0][1]), (300, rows[0][1]), (301, [2 * x for x in rows[0][1]]), (302, [1e200, 1e200]), (303, [1e-200, 1e-200])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("vec_id", "embedding", "1 AS label", "2 AS key", "3 AS root", "4 AS copies")
-    for block in (7, 4096):
-        got = sorted(tuple(r) for r in near_duplicates(df, block_rows=block).collect())
+    for block in (56, 1 << 19):
+        got = sorted(tuple(r) for r in near_duplicates(df, block_values=block).collect())
         assert got == brute(rows)
     assert near_duplicates(df.limit(0)).count() == 0
 
