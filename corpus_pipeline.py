@@ -3,7 +3,8 @@
 Every stage reads all that the one before kept, written as Parquet and read again:
 
 1. language: documents without a recognisable language go (null texts, texts without a letter);
-2. near_duplicates: of each SimHash component the document with the smallest doc_id stays (of repeated rows, one);
+2. near_duplicates: of each SimHash component the document with the smallest doc_id stays (of repeated rows, one), and
+   then of each component of texts at a five-word similarity of 0.8 or more;
 3. personal_data: every span is replaced by its kind, n_chars is the new length;
 4. mixture: documents are taken to target weights of the domain-language-source tree, each at most once;
 5. packing: documents are packed into sequences, one row per piece.
@@ -11,7 +12,7 @@ Every stage reads all that the one before kept, written as Parquet and read agai
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from spanloom.llm.common import keep
 from spanloom.llm.langid import recognised, train
@@ -19,6 +20,7 @@ from spanloom.llm.mixing import LEVELS, domain_of, mix, word_count
 from spanloom.llm.packing import pack
 from spanloom.llm.pii import redact_texts
 from spanloom.llm.simhash import near_duplicates
+from spanloom.llm.similar_texts import similar_groups
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The mixture's budget as a share of the tokens that reach it.
@@ -48,6 +50,16 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return numbered.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each SimHash component, then one of each component of five-word similarity 0.8 among those."""
+    numbered = keep(_numbered(near_duplicate(spark, docs, sf_dir)), "numbered")
+    found = similar_groups(numbered.select(F.col("row").alias("id"), "text")).withColumnRenamed("id", "row")
+    grouped = numbered.select("row", "doc_id").join(found, "row")
+    first = F.row_number().over(Window.partitionBy("group").orderBy(F.col("doc_id").asc_nulls_last(), "row"))
+    gone = grouped.withColumn("nth", first).where("nth > 1").select("row")
+    return numbered.join(gone, "row", "left_anti").select(*COLUMNS)
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return redact_texts(docs.select(*COLUMNS)).select(*COLUMNS)
 
@@ -65,7 +77,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", language),
-    ("near_duplicates", near_duplicate),
+    ("near_duplicates", near_copies),
     ("personal_data", personal_data),
     ("mixture", mixture),
     ("packing", packing),
