@@ -7,7 +7,7 @@ are columns of one projection.  Judges are callables on Arrow batches; without o
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -57,7 +57,7 @@ register_grader("loop_detection", "transcript")(lambda c: process.loop_detection
 register_grader("turn_count", "transcript")(lambda c: process.turn_count(calls(), **_only(c, **_named("max_turns", "min_turns", "scoring", "count", "threshold"))))
 register_grader("state_delta", "transcript")(lambda c: process.state_delta(calls(), **_only(c, **_named("readonly", "forbid", "require", "max_changes"))))
 register_grader("self_correction", "both")(lambda c: process.self_correction(calls(), **_only(c, **_named("max_retries", "require_recovery"))))
-register_grader("leak_detection", "transcript")(lambda c: process.leaks(transcript_text(), **_only(c, markers="markers", invalidate="invalidate")))
+register_grader("leak_detection", "transcript")(lambda c: process.leaks(transcript_text(), _markers(c), **_only(_without(c, "markers", "leak_patterns"), invalidate="invalidate")))
 register_grader("exact_match")(lambda c: _exact(c))
 register_grader("expected_text")(lambda c: content.expected_block(answer(), **c))
 register_grader("json_schema")(lambda c: content.json_schema(content_json(), **_only(c, **_named("schema", "strict", "threshold"))))
@@ -68,7 +68,7 @@ register_grader("query_quality")(lambda c: content.query_quality(_sql(), **_only
 register_grader("reasoning_trace", "both")(lambda c: content.reasoning_trace(F.concat_ws("\n", answer(), F.array_join(F.coalesce("reasoning", F.array().cast("array<string>")), "\n")), **_only(c, **_named("indicators", "threshold"))))
 register_grader("exit_code_check")(lambda c: code.exit_code(_meta("execution.exit_code").try_cast("int"), **_only(c, expected="expected")))
 register_grader("test_runner")(lambda c: code.output_patterns(_meta("execution.stdout"), **_only(c, pass_patterns="must", fail_patterns="must_not")))
-register_grader("integration_test")(lambda c: code.integration_test(_meta("execution.stdout"), _meta("execution.exit_code").try_cast("int"), **_only(c, threshold="threshold")))
+register_grader("integration_test")(lambda c: _unleaked(code.integration_test(_meta("execution.stdout"), _meta("execution.exit_code").try_cast("int"), **_only(_without(c, "leak_patterns"), threshold="threshold")), _markers(c)))
 register_grader("lint")(lambda c: code.lint(_meta("lint.stdout"), **_only(c, max_errors="max_errors")))
 register_grader("type_check")(lambda c: code.type_check(_meta("types.stdout"), **_only(c, max_errors="max_errors")))
 register_grader("security_scan")(lambda c: code.security_scan(answer(), _meta("bandit"), **_only(c, severity_threshold="fail_at", blocked_patterns="blocked")))
@@ -84,6 +84,22 @@ for _name, _make in (("edit_locality", image.edit_locality), ("edit_preservation
     register_grader(_name)(lambda c, make=_make: make(F.unbase64(_meta("original_base64")), F.unbase64(_meta("image_base64")), **c))
 
 
+def _without(config: Mapping, *names: str) -> dict:
+    return {k: v for k, v in config.items() if k not in names}
+
+
+def _markers(config: Mapping) -> list[str]:
+    return list(dict.fromkeys([*(config.get("leak_patterns") or ()), *(config.get("markers") or ())]))
+
+
+def _unleaked(graded: Column, markers: list[str]) -> Column:
+    """The grade, or 0 where the transcript holds a marker."""
+    if not markers:
+        return graded
+    clean = process.leaks(transcript_text(), markers)["passed"]
+    return F.struct(F.when(clean, graded["score"]).otherwise(0.0).alias("score"), (clean & graded["passed"]).alias("passed"))
+
+
 def _from_meta(path: str, kind: str) -> Column:
     return F.from_json(_meta(path), kind)
 
@@ -157,13 +173,19 @@ def evidence(limit: int = 40) -> Column:
     return F.concat(F.array_join(line, "\n"), F.when(more > 0, F.concat(F.lit("\n("), more.cast("string"), F.lit(" more)"))).otherwise(""))
 
 
-def grade_column(g: Grader) -> tuple[str, Column]:
+#: The graders that look for a case's own leak markers.
+LEAK_GRADERS = ("leak_detection", "integration_test")
+
+
+def grade_column(g: Grader, leak_markers: Sequence[str] = ()) -> tuple[str, Column]:
     """(scope, struct column) of a grader; one that isn't known or is misconfigured is unscored."""
     if g.type == "model":
         return "outcome", _judge(g)
     if g.name not in GRADERS:
         return "outcome", unscored()
     scope, make = GRADERS[g.name]
+    if g.name in LEAK_GRADERS:
+        return scope, make({**g.config, "leak_patterns": [*leak_markers, *(g.config.get("leak_patterns") or ())]})
     return scope, make(g.config)
 
 
@@ -172,7 +194,7 @@ def _plan(case: Case) -> Column:
     out = []
     ordered = sorted(case.graders, key=lambda g: g.type == "model")
     for pos, g in enumerate(ordered):
-        scope, graded = grade_column(g)
+        scope, graded = grade_column(g, case.leak_markers)
         out.append(F.struct(
             F.lit(pos).alias("pos"), F.lit(g.name).alias("name"), F.lit(g.label).alias("label"), F.lit(scope).alias("grader_scope"), F.lit(g.type).alias("grader_type"), F.lit(g.weight).alias("weight"), F.lit(g.required).alias("required"),
             F.lit(g.gate).alias("gate"), F.lit(False).alias("skipped"), graded["score"].alias("score"), F.coalesce(graded["passed"], F.lit(False)).alias("passed"),
