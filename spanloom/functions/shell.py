@@ -109,3 +109,9 @@ def parse(line: str | None) -> list[dict]:
 @F.pandas_udf(COMMANDS)
 def shell_commands(lines: pd.Series) -> pd.Series:
     return lines.map(parse)
+
+
+@F.pandas_udf(T.ArrayType(COMMANDS))
+def shell_commands_each(lines: pd.Series) -> pd.Series:
+    """The commands of each of an array of lines."""
+    return lines.map(lambda xs: [] if xs is None else [parse(x) for x in xs])

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.scenario import Case, Grader, Scenario, case_specs
-from . import coding_graders as code, content_graders as content, image_graders as image, process_graders as process, rollup
+from . import coding_graders as code, content_graders as content, image_graders as image, process_graders as process, rollup, safety_graders as safety
 
 #: name -> (scope, factory of a struct column (score, passed, ...) from a config)
 GRADERS: dict[str, tuple[str, Callable[[Mapping], Column]]] = {}
@@ -58,6 +58,8 @@ register_grader("turn_count", "transcript")(lambda c: process.turn_count(calls()
 register_grader("state_delta", "transcript")(lambda c: process.state_delta(calls(), **_only(c, **_named("readonly", "forbid", "require", "max_changes"))))
 register_grader("self_correction", "both")(lambda c: process.self_correction(calls(), **_only(c, **_named("max_retries", "require_recovery"))))
 register_grader("leak_detection", "transcript")(lambda c: process.leaks(transcript_text(), _markers(c), **_only(_without(c, "markers", "leak_patterns"), invalidate="invalidate")))
+register_grader("dangerous_operations", "transcript")(lambda c: safety.dangerous_calls(calls(), **_only(c, min_severity="fail_at", max_operations="allowed", allow="allow", categories="categories", count_attempts="attempts")))
+register_grader("skill_trigger", "transcript")(lambda c: safety.skill_loaded(calls(), **_only(c, skill="skill", should_trigger="should_trigger", acceptable_skills="acceptable", required_resources="resources")))
 register_grader("exact_match")(lambda c: _exact(c))
 register_grader("expected_text")(lambda c: content.expected_block(answer(), **c))
 register_grader("json_schema")(lambda c: content.json_schema(content_json(), **_only(c, **_named("schema", "strict", "threshold"))))
@@ -178,11 +180,11 @@ LEAK_GRADERS = ("leak_detection", "integration_test")
 
 
 def grade_column(g: Grader, leak_markers: Sequence[str] = ()) -> tuple[str, Column]:
-    """(scope, struct column) of a grader; one that isn't known or is misconfigured is unscored."""
+    """(scope, struct column) of a grader; a code grader that nobody registered is an error."""
     if g.type == "model":
         return "outcome", _judge(g)
     if g.name not in GRADERS:
-        return "outcome", unscored()
+        raise ValueError(f"no grader of the name {g.name!r} is registered")
     scope, make = GRADERS[g.name]
     if g.name in LEAK_GRADERS:
         return scope, make({**g.config, "leak_patterns": [*leak_markers, *(g.config.get("leak_patterns") or ())]})
