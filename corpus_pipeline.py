@@ -30,9 +30,9 @@ BUDGET = 0.9
 def _numbered(docs: DataFrame) -> DataFrame:
     """Documents with a number of their own, so that repeated rows and null ids can be told apart.
 
-    The number is a row's place in its Parquet table, so every scan of that table gives it again.
+    The number is written with its row: taken afresh in a later scan, it could differ with that scan's file splits.
     """
-    return docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"))
+    return keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each SimHash component, then one of each component of five-word similarity 0.8 among those."""
-    numbered = keep(_numbered(near_duplicate(spark, docs, sf_dir)), "numbered")
+    numbered = _numbered(near_duplicate(spark, docs, sf_dir))
     found = similar_groups(numbered.select(F.col("row").alias("id"), "text")).withColumnRenamed("id", "row")
     grouped = numbered.select("row", "doc_id").join(found, "row")
     first = F.row_number().over(Window.partitionBy("group").orderBy(F.col("doc_id").asc_nulls_last(), "row"))

@@ -53,3 +53,18 @@ def test_groups_are_components_of_all_pairs(spark):
     assert {r["id"]: r["group"] for r in similar_groups(d).collect()} == want
     assert similar_groups(d.where(F.lit(False))).count() == 0
     assert len(shingles("a b c d e f")) == 2 and len(shingles("a b")) == 1 and not len(shingles(None))
+
+
+def test_numbers_do_not_depend_on_file_splits(spark):
+    numbered = cp._numbered(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(3))
+    before, size = {tuple(r) for r in numbered.select("row", "doc_id").collect()}, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+        few = cp._numbered(docs)
+        own = {tuple(r) for r in few.select("row", "doc_id").collect()}
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+        assert {tuple(r) for r in few.select("row", "doc_id").collect()} == own
+        assert {tuple(r) for r in numbered.select("row", "doc_id").collect()} == before
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
