@@ -1,7 +1,7 @@
 """Embedding near-dedup by int8 tile products with rigorous error bounds.
 
-Unit vectors are quantised to int8 with a scale of their own.  A tile's integer products (exact in float32 up to
-1,024 dimensions) bound each cosine from both sides: what is surely above or below the threshold is settled,
+Unit vectors are quantised to int8 with a scale of their own.  A tile's integer products (exact in float32 over
+1,024 dimensions; longer vectors sum such slices in float64) bound each cosine from both sides: what is surely above or below the threshold is settled,
 and only pairs in between are recomputed in double precision.
 
 Equal vectors are one class, so copies never meet in pairs.  A tile returns one row per class with a link, not
@@ -35,9 +35,12 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def linked(a: np.ndarray, b: np.ndarray, threshold: float, qa=None, qb=None) -> np.ndarray:
     """The matrix of cosine >= threshold between unit rows of ``a`` and ``b``."""
     (ca, sa, ea), (cb, sb, eb) = qa or quantise(a), qb or quantise(b)
+    rough = ca[:, :_EXACT_DIM].astype(np.float32) @ cb[:, :_EXACT_DIM].astype(np.float32).T
     if a.shape[1] > _EXACT_DIM:
-        raise ValueError(f"at most {_EXACT_DIM} dimensions")
-    rough = ca.astype(np.float32) @ cb.astype(np.float32).T
+        rough = rough.astype(np.float64)
+        for at in range(_EXACT_DIM, a.shape[1], _EXACT_DIM):
+            s = slice(at, at + _EXACT_DIM)
+            rough += ca[:, s].astype(np.float32) @ cb[:, s].astype(np.float32).T
     rough *= sa[:, None].astype(np.float32)
     rough *= sb[None, :].astype(np.float32)
     # |u.v - rough| <= |eu||v'| + |ev||u'| + |eu||ev| with |v'| <= 1 + |ev|, and float32 rounding of the scaling
