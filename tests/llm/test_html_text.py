@@ -1,12 +1,13 @@
 """HTML extraction: the parser by hand, the CRF by enumeration, accuracy on held-out labelled pages."""
 
 import itertools
+import time
 
 import numpy as np
 
 from spanloom.llm.crf import ChainCRF
 from spanloom.llm.html_blocks import parse
-from spanloom.llm.html_text import _labelled, extract, main_text, model
+from spanloom.llm.html_text import _labelled, extract, main_text, model, op4_html_text
 
 PAGE = (
     "<html><head><title>T</title><script>var t='</p>';</script></head><body><header><a href=/>Site</a></header>"
@@ -58,3 +59,31 @@ def test_odd_pages(spark):
     got = extract(df).collect()
     assert [r["text"] for r in got[:5]] == [WANT, WANT, "", "", ""] and got[5]["n_chars"] == 16 * 100_000 - 1
     assert all(r["n_chars"] == len(r["text"]) for r in got) and extract(df.limit(0)).count() == 0
+
+
+def test_foreign_and_raw_elements():
+    texts = lambda x: [b.text for b in parse(x)]
+    assert texts("<p>one</p><svg width=1/><p>two</p>") == texts("<p>one</p><svg><svg><text>x</text></svg>y</svg><p>two</p>") == ["one", "two"]
+    assert texts("<p>one <math><mi>x</mi></math> two</p>") == ["one", "x", "two"]
+    assert texts("<p>a</p><noscript>keep</noscript><object>this</object><template>not</template>") == ["a", "keep", "this"]
+    assert texts("<p>a<script>var x = '<p>no</p>'</script>b</p><style>p{}") == ["ab"]
+    assert texts("<p>a</p><script>gone<p>gone") == ["a"] and texts("<textarea>kept<p>b") == ["kept", "b"]
+    assert texts("<p title='a>b'>c</p><p title=\"d>e>f</p>") == ["c", "e>f"]
+
+
+def test_hostile_pages_are_linear():
+    n = 20_000
+    pages = ("<div>" * n + "x", "<a " * n, "<a href='" * (n + 1), "<p " + '"' * (n + 1), "<!--" * n, "<svg>" * n, "<script>" * n, "<textarea>" * n,
+             "<p>a<b>c" * n, "<" * n, "<i>" * n + "</p>" * n, "</b>" * n, "<b>" * n + "</i>" * n, "<x y='" + "<z \"' >" * n)
+    for page in pages:
+        took = time.process_time()
+        parse(page)
+        assert time.process_time() - took < 3, page[:20]
+
+
+def test_query_is_main_text_of_every_page(spark):
+    sf = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    want = sorted((r["page_id"], r["url"], main_text(r["html"], model())) for r in pages)
+    got = op4_html_text(spark, sf).collect()
+    assert sorted((r["page_id"], r["url"], r["text"]) for r in got) == want and all(r["n_chars"] == len(r["text"]) for r in got)
