@@ -5,11 +5,13 @@ document is a mixture of languages over its words; expectation-maximisation esti
 set of languages is shrunk while the log-likelihood lost by a language is less than its penalty.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is everything where nothing is labelled;
-repeated rows are each answered; an empty table gives an empty result; extra columns are ignored.
+repeated rows are each answered; an empty table gives an empty result; extra columns are ignored.  Very long texts
+are read whole, in slices that end where a word ends (a run of 2 x ``_SLICE`` characters without one is cut).
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -32,6 +34,7 @@ _ORDERS = ((0x9E3779B1, 0, 0), (0x85EBCA77, 0xC2B2AE3D, 0), (0x27D4EB2F, 0x16566
 class Model:
     langs: list[str]
     log_p: np.ndarray  # 2^BITS x languages
+    flat: float = 0.0  # the log-likelihood of an n-gram if all that were seen in any language were equally likely
 
 
 @lru_cache(maxsize=1)
@@ -56,20 +59,28 @@ def _grams(text: str) -> tuple[list[np.ndarray], np.ndarray]:
     return index, np.flatnonzero(left == 32)
 
 
+_GAP = re.compile(r"\s")
+
+
 def _slices(text: str):
-    for a in range(0, len(text), _SLICE):
-        yield text[a : a + _SLICE]
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + _SLICE, at + 2 * _SLICE)
+        end = gap.end() if gap else at + 2 * _SLICE
+        yield text[at:end]
+        at = end
 
 
-def word_scores(text: str, model: Model) -> np.ndarray:
-    """The log-likelihood of each word (rows) under each language (columns)."""
-    parts = []
+def word_scores(text: str, model: Model) -> tuple[np.ndarray, int]:
+    """(the log-likelihood of each word (rows) under each language (columns), letters)."""
+    parts, letters = [], 0
     for piece in _slices(text):
         index, starts = _grams(piece)
         if len(index[0]):
+            letters += len(index[0])
             total = model.log_p[index[0]] + model.log_p[index[1]] + model.log_p[index[2]]
             parts.append(np.add.reduceat(total, starts if len(starts) and starts[0] == 0 else np.r_[0, starts], axis=0))
-    return np.concatenate(parts) if parts else np.zeros((0, len(model.langs)), dtype=np.float32)
+    return np.concatenate(parts) if parts else np.zeros((0, len(model.langs)), dtype=np.float32), letters
 
 
 def mixture(scores: np.ndarray, rounds: int = 50, tolerance: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -86,11 +97,16 @@ def mixture(scores: np.ndarray, rounds: int = 50, tolerance: float = 1e-4) -> tu
     return theta, float(np.log((likely * theta).sum(axis=1)).sum() + top.sum())
 
 
-def detect(text: str | None, model: Model) -> tuple[str, float, dict[str, float]]:
-    """(language, its proportion, proportions of the languages selected)."""
-    scores = word_scores(text or "", model).astype(np.float64) if model.langs else np.zeros((0, 0))
+def detect(text: str | None, model: Model) -> tuple[str, float, dict[str, float], float]:
+    """(language, its proportion, proportions of the languages selected, gain).
+
+    The gain is the mixture's log-likelihood a letter above that of letters that follow no language at all, with
+    every n-gram ever seen equally likely: below 0, no language learned explains the text.
+    """
+    scores, letters = word_scores(text or "", model) if model.langs else (np.zeros((0, 0)), 0)
+    scores = scores.astype(np.float64)
     if not len(scores):
-        return UNKNOWN, 0.0, {}
+        return UNKNOWN, 0.0, {}, 0.0
     chosen = np.arange(len(model.langs))
     theta, fit = mixture(scores)
     penalty = 2.0 + 0.5 * np.log(len(scores))
@@ -101,7 +117,8 @@ def detect(text: str | None, model: Model) -> tuple[str, float, dict[str, float]
             break
         chosen, theta, fit = chosen[rest], less, fit_less
     best = int(theta.argmax())
-    return model.langs[chosen[best]], float(min(1.0, theta[best])), {model.langs[i]: float(t) for i, t in zip(chosen, theta)}
+    shares = {model.langs[i]: float(t) for i, t in zip(chosen, theta)}
+    return model.langs[chosen[best]], float(min(1.0, theta[best])), shares, fit / letters - len(_ORDERS) * model.flat
 
 
 def _fold(n: int):
@@ -144,38 +161,49 @@ def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
     grams = spread(sample).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((1 << BITS, len(langs)))
     counts[grams["gram"].to_numpy(dtype=np.int64), grams["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int64)] = grams["n"].to_numpy(dtype=np.int64)
-    return Model(langs, np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * (1 << BITS))).astype(np.float32))
+    flat = -float(np.log(max(1, int((counts.sum(axis=1) > 0).sum()))))
+    return Model(langs, np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * (1 << BITS))).astype(np.float32), flat)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row of ``docs(doc_id, text)``."""
+    """(doc_id, lang_pred, score, langs) of every row of ``docs(doc_id, text)``; langs has all that were selected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS rows by languages, whatever the input
 
     def batches(it):
         own = shared.value
         for b in it:
             found = [detect(t.as_py(), own) for t in b.column(1)]
+            shares = [sorted(f[2].items(), key=lambda x: (-x[1], x[0])) for f in found]
+            kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([f[0] for f in found], type=pa.string()), pa.array([f[1] for f in found], type=pa.float64())],
-                names=["doc_id", "lang_pred", "score"],
-            )
+                [
+                    b.column(0), pa.array([f[0] for f in found], type=pa.string()), pa.array([f[1] for f in found], type=pa.float64()),
+                    pa.array([[{"lang": k, "share": v} for k, v in own] for own in shares], type=kind),
+                ],
+                names=["doc_id", "lang_pred", "score", "langs"],
+            )
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(batches, "doc_id long, lang_pred string, score double")
+    return spread(docs.select("doc_id", "text")).mapInArrow(batches, "doc_id long, lang_pred string, score double, langs array<struct<lang:string,share:double>>")
 
 
 def recognised(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, unchanged."""
+    """The rows of ``docs(text, lang, ...)`` whose text a learned language explains; a null lang becomes the prediction."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(it):
         for b in it:
-            yield b.filter(pa.array([detect(t.as_py(), shared.value)[0] != UNKNOWN for t in b.column("text")], type=pa.bool_()))
+            found = [detect(t.as_py(), shared.value) for t in b.column("text")]
+            given = b.column("lang").to_pylist()
+            at = b.schema.get_field_index("lang")
+            filled = pa.array([f[0] if g is None else g for f, g in zip(found, given)], type=b.schema.field(at).type)
+            keep = pa.array([f[0] != UNKNOWN and f[3] >= 0 for f in found], type=pa.bool_())
+            yield b.set_column(at, b.schema.field(at), filled).filter(keep)
 
     return spread(docs).mapInArrow(batches, docs.schema)
 
 
 def op5_langid(spark, sf_dir):
-    """doc_id, held_out, lang_pred and score of every document."""
+    """doc_id, held_out, lang_pred, score and langs (the selected set with proportions) of every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = train(docs.where(_fold(4) != 2))
-    return identify(docs, model).select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model).select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "langs")
