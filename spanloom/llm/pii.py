@@ -1,7 +1,7 @@
 """Personal data in texts: patterns propose spans, checksums confirm them, context words adjust the score.
 
 Offsets are code points, ends exclusive.  The four base kinds follow fixed patterns and are always kept; the
-further kinds (iban, ssn) are kept when their score reaches ``THRESHOLD``.  Null and empty texts have no span;
+further kinds (iban, ssn, secret) are kept when their score reaches ``THRESHOLD``.  Null and empty texts have no span;
 repeated rows are each answered; extra columns are ignored.  Every pattern is linear in the text, so very long
 texts and long runs of digits are safe.
 """
@@ -20,7 +20,7 @@ WINDOW = 48
 
 # The kinds in output order with their start score, and the words that raise it.
 BASE_KINDS = ("email", "ip", "card", "phone")
-START_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+START_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "secret": 0.3}
 CONTEXT = {
     "email": ("mail", "email", "contact", "write"),
     "ip": ("ip", "address", "host", "server"),
@@ -28,14 +28,28 @@ CONTEXT = {
     "phone": ("phone", "call", "tel", "mobile", "fax"),
     "iban": ("iban", "bank", "account", "transfer"),
     "ssn": ("ssn", "social", "security", "taxpayer"),
+    "secret": ("token", "secret", "password", "passwd", "key", "apikey", "auth", "bearer", "credential"),
 }
+# The length of an IBAN by country (the public registry of ISO 13616).
+IBAN_LENGTHS = {
+    k: int(n)
+    for n, countries in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FI,FO,GL,NL 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+        "23:AE,GI,IL,IQ,TL 24:AD,CZ,ES,MD,PK,SA,SE,SK,TN,VG 25:PT,ST 26:IS,TR 27:FR,GR,IT,MC,MR,SM "
+        "28:AL,AZ,BY,CY,DO,GT,HU,LB,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC"
+    ).split())
+    for k in countries.split(",")
+}
 RAISE = 0.3
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+#: The rest of an IBAN after its four first characters, by its length: what follows may be anything but its like.
+_IBAN_REST = {n: re.compile(rf"(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())}
+_SECRET = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _WORDS = re.compile(r"[a-z]+")
@@ -91,11 +105,15 @@ def _proposals(text: str):
         if 8 <= len(_digits(m[0])) <= 15:
             yield "phone", m.start(), m.end()
     for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", m.start(), m.end()
+        rest = _IBAN_REST[IBAN_LENGTHS[m[0][:2]]].match(text, m.end()) if m[0][:2] in IBAN_LENGTHS else None
+        if rest and mod97(m[0] + rest[0]):
+            yield "iban", m.start(), rest.end()
     for m in _SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "ssn", m.start(), m.end()
+    for m in _SECRET.finditer(text):
+        if len(set(m[0])) >= 8:  # a key looks random; a ruler or a padded number doesn't
+            yield "secret", m.start(), m.end()
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -153,14 +171,15 @@ def redact_texts(docs: DataFrame) -> DataFrame:
 
 
 def op7_pii(spark, sf_dir):
-    """Counts, digest and spans of every document."""
+    """Counts, digest, spans and scores (in the order of spans) of every document."""
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     found = detect(table(spark, sf_dir, "documents", "doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    return found.select("doc_id", *map(_count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    scores = F.transform("spans", lambda s: F.round(s["score"], 2)).alias("scores")
+    return found.select("doc_id", *map(_count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"), scores)
 
 
 def _count(kind: str):
