@@ -20,6 +20,8 @@ from .common import spread, table
 from .tokens import encode
 
 ROW_TOKENS, MATRIX_ROWS, WINDOW_TOKENS, PAD_ID = 2048, 128, 1 << 21, 0
+#: Matrices that a task can number, and rows that a matrix can have: with a task's 31 bits, ids stay within 63 bits.
+_MATRIX_BITS, _ROW_BITS = 20, 12
 
 _SEGMENT = pa.struct([("row", pa.int32()), ("offset", pa.int32()), ("length", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64())])
 _MATRIX = pa.schema([
@@ -103,12 +105,27 @@ def _matrices(pieces: list, first_id: int, row_tokens: int, matrix_rows: int):
         yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(values, _MATRIX)], schema=_MATRIX)
 
 
+def first_matrix(part: int, made: int) -> int:
+    """The next matrix id of a task that has made some."""
+    if made >= (1 << _MATRIX_BITS) - WINDOW_TOKENS // MATRIX_ROWS:
+        raise ValueError("a task has made too many matrices: read the input in smaller splits")
+    return (part << _MATRIX_BITS) + made
+
+
+def sequence_of(matrix_id: int, row: int) -> int:
+    """One number for a row of a matrix."""
+    return (matrix_id << _ROW_BITS) + row
+
+
 def token_matrices(docs: DataFrame, row_tokens: int = ROW_TOKENS, matrix_rows: int = MATRIX_ROWS, window_tokens: int = WINDOW_TOKENS, tokenizer: str | None = None) -> DataFrame:
     """One row per packed matrix of ``docs(doc_id, text)``.
 
     ids and position_ids are n_rows x row_tokens little-endian unsigned 32-bit integers; positions restart at 0
-    with every segment.  cu_seqlens are each row's cumulative segment lengths from 0.
+    with every segment.  cu_seqlens are each row's cumulative segment lengths from 0.  A task that would make more
+    than a million matrices (hundreds of billions of tokens) raises an error, as its ids would run into another's.
     """
+    if not 0 < matrix_rows <= 1 << _ROW_BITS:
+        raise ValueError(f"a matrix has 1 to {1 << _ROW_BITS} rows")
 
     def batches(it):
         from pyspark import TaskContext
@@ -122,11 +139,11 @@ def token_matrices(docs: DataFrame, row_tokens: int = ROW_TOKENS, matrix_rows: i
                     window.append((doc, at, ids[at : at + row_tokens]))
                     held += len(window[-1][2])
                     if held >= window_tokens:
-                        for m in _matrices(window, (part << 32) + made, row_tokens, matrix_rows):
+                        for m in _matrices(window, first_matrix(part, made), row_tokens, matrix_rows):
                             made += 1
                             yield m
                         window, held = [], 0
-        yield from _matrices(window, (part << 32) + made, row_tokens, matrix_rows)
+        yield from _matrices(window, first_matrix(part, made), row_tokens, matrix_rows)
 
     return spread(docs.select("doc_id", "text")).mapInArrow(batches, MATRIX_DDL)
 
@@ -150,7 +167,7 @@ def read_pieces(matrices: DataFrame) -> DataFrame:
                     span = slice(s["offset"], s["offset"] + s["length"])
                     crc = zlib.crc32(ids[s["row"], span].tobytes())
                     resets = int((positions[s["row"], span] == 0).sum())
-                    rows.append((s["doc_id"], s["start"], s["length"], m["matrix_id"] * (1 << 16) + s["row"], s["offset"], crc, resets))
+                    rows.append((s["doc_id"], s["start"], s["length"], sequence_of(m["matrix_id"], s["row"]), s["offset"], crc, resets))
             columns = list(zip(*rows)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=[c.split()[0] for c in PIECE_DDL.split(", ")])
 

@@ -4,12 +4,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from spanloom.llm.cutting_stock import plan
-from spanloom.llm.packing import pack
-from spanloom.llm.token_matrix import CapacityTree, best_fit_decreasing, read_pieces, token_matrices, write_matrices
+from spanloom.llm.packing import op2_packing, pack
+from spanloom.llm.token_matrix import CapacityTree, best_fit_decreasing, first_matrix, op8_token_matrix, read_pieces, sequence_of, token_matrices, write_matrices
 from spanloom.llm.tokens import default_path, encode
 
 
@@ -89,6 +90,22 @@ def test_best_fit_uses_each_item_once():
     assert sorted(i for b in bins for i in b) == list(range(7)) and len(bins) == 4
 
 
+def test_ids_of_late_tasks_fit(spark):
+    last = first_matrix(2**31 - 1, 0)
+    assert sequence_of(last, 4095) < 2**63 and sequence_of(last, 0) > sequence_of(first_matrix(2**31 - 2, 10_000), 4095)
+    with pytest.raises(ValueError):
+        first_matrix(0, 1 << 20)
+    with pytest.raises(ValueError):
+        token_matrices(spark.range(0).selectExpr("id AS doc_id", "'' AS text"), matrix_rows=5000)
+
+
+def test_queries_cover_the_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    for query in (op2_packing, op8_token_matrix):
+        rows = query(spark, "/root/testdata/sf0.001").collect()
+        check(rows, docs, 2048)
+
+
 def test_matrices_round_trip(spark, odd_docs, tmp_path):
     made = token_matrices(odd_docs, row_tokens=64, matrix_rows=3, window_tokens=2000)
     write_matrices(made, f"file://{tmp_path}/m")
