@@ -2,7 +2,8 @@
 
 Scratch tables are Parquet directories below ``spark.checkpoint.dir`` (the folder that driver and
 executors share).  A written table cuts lineage: a lost executor costs a re-read, never a recompute of
-the whole chain.  Only when that setting is empty (unit tests) is a folder of our own used.
+the whole chain.  Only when that setting is empty and Spark runs in one process (unit tests) is a folder of our own
+used; on a cluster an empty setting is an error.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.partitions import spread
 
-__all__ = ["buckets_for", "forget", "keep", "salted_rank", "scratch_root", "spread", "table"]
+__all__ = ["buckets_for", "forget", "keep", "lookup", "salted_rank", "scratch_root", "spread", "table"]
 
 _SCRATCH: dict[str, list[str]] = {}
 
@@ -29,6 +30,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for scratch tables, one sub-folder for each application."""
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.gettempdir() + "/spanloom-scratch"
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
@@ -66,8 +69,8 @@ def _sweep(spark: SparkSession, app: str) -> None:
     for path in _SCRATCH.pop(app, []):
         try:
             _delete(spark, path)
-        except Exception:  # the session is already gone; the folder belongs to the application
-            return
+        except Exception:  # the session or this table is gone already; the others are tried all the same
+            continue
 
 
 def buckets_for(rows: int, per_bucket: int, least: int = 1) -> int:
@@ -75,6 +78,29 @@ def buckets_for(rows: int, per_bucket: int, least: int = 1) -> int:
     return max(least, -(-int(rows) // per_bucket))
 
 
+#: A key is dealt over so many tasks if it has more rows than this and more than a thousandth of all.
+SALTS, HOT_ROWS = 32, 10_000
+
+
+def lookup(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``names(key, copies, ...)``, one row for each key, except copies.
+
+    ``copies`` counts the key's rows.  Keys with very many rows are dealt over SALTS tasks; there are at most a
+    thousand of those, so only their hashes go to the driver and into the plan.
+    """
+    sizes = names.agg(F.sum("copies").alias("total"), F.max("copies").alias("most")).first()
+    limit = max(HOT_ROWS, (sizes["total"] or 0) // 1000)
+    if (sizes["most"] or 0) <= limit:
+        return rows.join(names.drop("copies"), key)
+    hashed = F.xxhash64(key)
+    hot = [r[0] for r in names.where(F.col("copies") > limit).select(hashed).distinct().collect()]
+    names = names.drop("copies")
+    is_hot = hashed.isin(hot)
+    dealt = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(names.withColumn("_salt", F.explode(salts)), [key, "_salt"]).drop("_salt")
+
+
 def salted_rank(df: DataFrame, key: str, order: str, n_buckets: int, rank: str = "rank_in_key") -> DataFrame:
     """0-based rank of each row within ``key`` without ever sorting a whole key in one task.
 

@@ -1,8 +1,11 @@
 """Embedding near-dedup by int8 tile products with rigorous error bounds.
 
 Unit vectors are quantised to int8 with a scale of their own.  A tile's integer products (exact in float32 over
-1,024 dimensions; longer vectors sum such slices in float64) bound each cosine from both sides: what is surely above or below the threshold is settled,
-and only pairs in between are recomputed in double precision.
+1,024 dimensions; longer vectors sum such slices in float64) bound each cosine from both sides: what is surely above
+or below the threshold is settled, and only pairs in between are recomputed in double precision.
+
+Blocks are as large as a task's memory allows, but enough of them that all cores have tiles: a vector travels once
+for each block, and the number of tiles follows the cores and, beyond that, the square of the input over the memory.
 
 Equal vectors are one class, so copies never meet in pairs.  A tile returns one row per class with a link, not
 its links.  Vectors that are null, empty, zero, hold a null or non-finite component, or whose length differs from
@@ -13,15 +16,18 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import buckets_for, keep, table
+from .common import buckets_for, keep, lookup, table
 from .components import connected_components
 
-THRESHOLD, BLOCK_VALUES, STRIP_ROWS = 0.95, 1 << 19, 512
-_EXACT_DIM = 1 << 10
+#: Components in a block at most, products held at once, vectors in a block at least, and tiles for each core.
+THRESHOLD, BLOCK_VALUES, STRIP_VALUES, LEAST_ROWS, TILES_PER_CORE = 0.95, 1 << 21, 1 << 22, 256, 3
+_EXACT_DIM, MAX_TASKS = 1 << 10, 20_000
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,8 +84,9 @@ def _tile(left: pd.DataFrame, right: pd.DataFrame, threshold: float, same: bool)
     last = len(blocks) - 1
     links = [np.zeros(len(k), dtype=np.int64) for k in keys]
     pairs = []
-    for at in range(0, len(keys[0]), STRIP_ROWS):
-        s = slice(at, at + STRIP_ROWS)
+    strip = max(16, STRIP_VALUES // max(1, len(keys[last])))
+    for at in range(0, len(keys[0]), strip):
+        s = slice(at, at + strip)
         near = linked(units[0][s], units[last], threshold, tuple(q[s] for q in quants[0]), quants[last])
         if same:
             rows = np.arange(near.shape[0])
@@ -129,7 +136,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_valu
     sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark, linked_rows = vectors.sparkSession, None
     for dim, n in sizes.items():
-        part = _tiles(classes.where(F.col("dim") == dim), buckets_for(n, max(1, block_values // dim)), threshold)
+        part = _tiles(classes.where(F.col("dim") == dim), blocks_for(n, dim, spark.sparkContext.defaultParallelism, block_values), threshold)
         linked_rows = part if linked_rows is None else linked_rows.unionByName(part)
     if linked_rows is None:
         linked_rows = spark.createDataFrame([], "key long, links long, root long")
@@ -139,12 +146,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_valu
     rooted = classes.join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    named = rooted.join(least, "root").select("embedding", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     alone = rows.where("NOT fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = good.join(named, "embedding").select("vec_id", "n_links", "component_id").unionByName(alone)
+    named = keep(named, "vectors-named")
+    out = lookup(good, named, "embedding").select("vec_id", "n_links", "component_id").unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def blocks_for(rows: int, dim: int, cores: int, block_values: int = BLOCK_VALUES) -> int:
+    """Blocks for so many vectors: as memory asks, and where rows allow, enough for a few tiles a core."""
+    wanted = math.ceil(math.sqrt(2 * TILES_PER_CORE * cores))
+    return max(buckets_for(rows, max(1, block_values // dim)), min(wanted, buckets_for(rows, LEAST_ROWS)))
+
+
 def _tiles(classes: DataFrame, n_blocks: int, threshold: float) -> DataFrame:
     """The links of every pair of blocks; each block travels once to each of its tiles."""
     blocked = classes.select("key", "copies", "embedding", F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int").alias("block"))
@@ -160,8 +174,8 @@ def _tiles(classes: DataFrame, n_blocks: int, threshold: float) -> DataFrame:
             return pd.DataFrame({"key": [], "links": [], "root": []}).astype("int64")
         return _tile(left, right, threshold, a == b)
 
-    # a tile holds two blocks at most, whatever the input
-    return tiled.repartition(n_blocks * (n_blocks + 1) // 2, "a", "b").groupBy("a", "b").applyInPandas(run, "key long, links long, root long")
+    # a task holds one tile at a time, two blocks at most, whatever the input; beyond MAX_TASKS it has several in turn
+    return tiled.repartition(min(MAX_TASKS, n_blocks * (n_blocks + 1) // 2), "a", "b").groupBy("a", "b").applyInPandas(run, "key long, links long, root long")
 
 
 def op3_embedding_dedup(spark, sf_dir):

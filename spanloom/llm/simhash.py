@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import forget, keep, spread, table
+from .common import forget, keep, lookup, spread, table
 from .components import connected_components
 
 _BLOCK = 1 << 16
@@ -119,13 +119,13 @@ def near_duplicates(docs, radius: int = 4):
     repeated rows are each returned; an empty table gives an empty result.
     """
     own = keep(fingerprints(docs), "simhash")
-    classes = keep(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
+    classes = keep(own.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "simhash-classes")
     roots = connected_components(link_fingerprints(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    rooted = classes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(roots, "fp", "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = keep(rooted.join(least, "root").select("fp", "component_id"), "simhash-named")
+    named = keep(rooted.join(least, "root").select("fp", "copies", "component_id"), "simhash-named")
     forget(classes)
-    return own.join(named, "fp")
+    return lookup(own, named, "fp")
 
 
 def op1_simhash(spark, sf_dir):
