@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from .embedding_dedup import ORACLE as EMBEDDING_SQL, op3_embedding_dedup
 from .hamming_topk import ORACLE as TOPK_SQL, op10_topk
 from .html_text import op4_html_text
@@ -16,8 +14,15 @@ from .simhash import op1_simhash
 from .token_matrix import op8_token_matrix
 
 
+def pipeline(spark, sf_dir):
+    """Every stage of the corpus pipeline, which stands at the repository's top."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_simhash, op2_packing, op3_embedding_dedup, op4_html_text, op5_langid, op6_mixing, op7_pii, op8_token_matrix, op9_lm_score, op10_topk)}
+    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_simhash, op2_packing, op3_embedding_dedup, op4_html_text, op5_langid, op6_mixing, op7_pii, op8_token_matrix, op9_lm_score, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:

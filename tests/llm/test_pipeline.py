@@ -11,10 +11,13 @@ sys.path.insert(0, str(Path(__file__).parents[2]))
 
 import corpus_pipeline as cp  # noqa: E402
 
-from spanloom.llm.mixing import NULL, budgets  # noqa: E402
+from spanloom.llm.langid import detect, train  # noqa: E402
+from spanloom.llm.mixing import NULL, TARGETS  # noqa: E402
 from spanloom.llm.pii import redact  # noqa: E402
 from spanloom.llm.simhash import simhash  # noqa: E402
 
+from .plain_mixing import budgets  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -32,9 +35,20 @@ def rows(df):
     return Counter(tuple(r) for r in df.select(*cp.COLUMNS).collect())
 
 
-def test_language_keeps_all_with_letters(spark, docs):
-    want = Counter({r: n for r, n in rows(docs).items() if any(c.isalpha() for c in r[1] or "")})
-    assert rows(cp.language(spark, docs, SF)) == want
+def test_language_keeps_what_a_language_explains(spark, docs):
+    noise = [(901, "qzx xkcd wvvq zzzj qqkx jjxw vvkq", "en", "a", 1), (902, "我们认为这些真理是不言而喻的", None, "a", 1), (903, "12 34 !!", None, "a", 1)]
+    docs = docs.unionByName(spark.createDataFrame(noise, "doc_id long, text string, lang string, source string, n_chars long").withColumn("extra", F.lit(2)))
+    model = train(docs)
+    want = Counter()
+    for (i, t, lang, source, n), times in rows(docs).items():
+        pred, _, _, gain = detect(t, model)
+        if pred != "und" and gain >= 0:
+            want[i, t, lang or pred, source, n] += times
+    got = rows(cp.language(spark, docs, SF))
+    assert got == want and not {901, 902, 903} & {r[0] for r in got} and all(r[2] for r in got)
+    real = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert real <= {r[0] for r in got}  # clean documents stay
+    assert (2, "en") in {(r[0], r[2]) for r in got}  # a null label is filled
 
 
 def test_near_duplicates_keep_one_of_each_component(spark, docs):
@@ -79,8 +93,8 @@ def test_mixture_follows_budgets(spark, docs):
     taken = Counter()
     for r in got.select(leaf.alias("leaf"), size.alias("n")).collect():
         taken[tuple(r["leaf"])] += r["n"]
-    for k, budget in budgets(have, cp.BUDGET * sum(have.values()), 1).items():
-        assert budget - most[k] <= taken[k] <= budget
+    for k, budget in budgets(have, cp.BUDGET * sum(have.values()), 1, TARGETS).items():
+        assert budget - 1 <= taken[k] <= budget + most[k]
 
 
 def test_whole_run_and_empty_table(spark, docs):
