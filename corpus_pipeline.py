@@ -2,11 +2,13 @@
 
 Every stage reads all that the one before kept, written as Parquet and read again:
 
-1. language: documents without a recognisable language go (null texts, texts without a letter);
+1. language: documents whose text no learned language explains go (null texts, texts without a letter, and texts that
+   the language mixture fits worse than letters in no order at all); a null lang becomes the language predicted;
 2. near_duplicates: of each SimHash component the document with the smallest doc_id stays (of repeated rows, one), and
    then of each component of texts at a five-word similarity of 0.8 or more;
 3. personal_data: every span is replaced by its kind, n_chars is the new length;
-4. mixture: documents are taken to target weights of the domain-language-source tree, each at most once;
+4. mixture: documents are taken to target weights of the domain-language-source tree, each at most once; the document
+   in which a leaf's tokens end is kept whole;
 5. packing: documents are packed into sequences, one row per piece.
 """
 
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from spanloom.llm.common import keep
 from spanloom.llm.langid import recognised, train
-from spanloom.llm.mixing import LEVELS, domain_of, mix, word_count
+from spanloom.llm.mixing import LEVELS, TARGETS, domain_of, mix, word_count
 from spanloom.llm.packing import pack
 from spanloom.llm.pii import redact_texts
 from spanloom.llm.simhash import near_duplicates
@@ -67,7 +69,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered = _numbered(docs)
     leaves = numbered.select(F.col("row").alias("doc_id"), domain_of(F.col("source")).alias("domain"), "lang", "source", word_count(F.col("text")).alias("n_tokens"))
-    taken = mix(leaves, BUDGET, 1, LEVELS).select(F.col("doc_id").alias("row"))
+    taken = mix(leaves, BUDGET, 1, LEVELS, TARGETS).select(F.col("doc_id").alias("row"))
     return numbered.join(taken, "row", "left_semi").select(*COLUMNS)
 
 
