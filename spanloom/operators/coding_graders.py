@@ -98,7 +98,7 @@ def likeness(a: str | None, b: str | None, how: str = "sequence") -> float:
         return float(re.sub(r"\s+", " ", a).strip() == re.sub(r"\s+", " ", b).strip())
     if how == "ast" and _tree(a) is not None and _tree(a) == _tree(b):
         return 1.0
-    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    return difflib.SequenceMatcher(None, a, b).ratio()
 
 
 def likeness_udf(how: str = "sequence"):
@@ -121,6 +121,13 @@ def diff_accuracy(expected: DataFrame, generated: DataFrame, how: str = "sequenc
     return d.withColumn("passed", F.col("score") >= threshold)
 
 
+def file_union(expected: DataFrame, generated: DataFrame, by: str = "trial_id") -> DataFrame:
+    """(by, path, before, after) of every path on either side of two tables ``(by, path, content)``; absent files are empty."""
+    sides = [d.select(by, "path", F.col("content").alias(n)) for d, n in ((expected, "before"), (generated, "after"))]
+    both = sides[0].join(sides[1], [by, "path"], "full_outer")
+    return both.select(by, "path", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"))
+
+
 def named_tests(results: DataFrame, expected: DataFrame, by: str = "trial_id") -> DataFrame:
     """Verdicts where every expected ``(by, test, kind)`` passed in ``(by, stdout)``; a test that didn't run failed."""
     line = r"(?m)^(PASSED|FAILED|ERROR)\s+(\S+)"

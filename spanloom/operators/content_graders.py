@@ -193,39 +193,91 @@ def reasoning_trace(text: Column, indicators: Sequence[str], threshold: float =
 # --- rows ----------------------------------------------------------------------------------------------------------
 
 
-def compare_keyed(actual: DataFrame, expected: DataFrame, keys: Sequence[str], tolerance: float = 1e-6) -> DataFrame:
-    """Differences of two tables by key: (keys..., column, kind, actual, expected), kind missing, extra or mismatch."""
-    columns = [c for c in expected.columns if c not in keys]
-    a = actual.select(*keys, *[F.col(c).cast("string").alias(f"a_{c}") for c in columns], F.lit(True).alias("_a"))
-    e = expected.select(*keys, *[F.col(c).cast("string").alias(f"e_{c}") for c in columns], F.lit(True).alias("_e"))
-    d = a.join(e, list(keys), "full_outer")
+def compare_keyed(actual: DataFrame, expected: DataFrame, keys: Sequence[str], tolerance: float = 1e-6, order: str | None = None) -> DataFrame:
+    """Differences of two tables by key: (keys..., column, kind, actual, expected), kind missing, extra or mismatch.
+
+    Null keys match each other.  Of the rows of a repeated key one counts on each side: the last by ``order``, a column
+    of both tables, or where none is given the greatest by its values.
+    """
+    columns = [c for c in expected.columns if c not in (*keys, order)]
+    kept = [c for c in columns if c in actual.columns]
+
+    def side(d: DataFrame, cols: Sequence[str], mark: str) -> DataFrame:
+        texts = [F.col(c).cast("string").alias(f"{mark}_{c}") for c in cols]
+        last = F.struct(*([F.col(order)] if order else []), *[F.col(c).cast("string") for c in cols], F.lit(0))
+        d = d.groupBy(*[F.col(k).alias(f"{mark}_key{i}") for i, k in enumerate(keys)]).agg(F.max_by(F.struct(*texts, F.lit(True).alias(f"_{mark}")), last).alias("x"))
+        return d.select(*[f"{mark}_key{i}" for i in range(len(keys))], "x.*")
+
+    on = F.lit(True)
+    for i in range(len(keys)):
+        on = on & F.col(f"a_key{i}").eqNullSafe(F.col(f"e_key{i}"))
+    d = side(actual, kept, "a").join(side(expected, columns, "e"), on, "full_outer")
+    key = [F.when(F.col("_e").isNull(), F.col(f"a_key{i}")).otherwise(F.col(f"e_key{i}")).alias(k) for i, k in enumerate(keys)]
     gone = F.when(F.col("_a").isNull(), "missing").when(F.col("_e").isNull(), "extra")
     whole = F.array(F.struct(F.lit("*").alias("column"), gone.alias("kind"), F.lit(None).cast("string").alias("actual"), F.lit(None).cast("string").alias("expected")))
     cells = F.array(*[
         F.struct(F.lit(c).alias("column"), F.when(~same_value(F.col(f"a_{c}"), F.col(f"e_{c}"), tolerance), "mismatch").alias("kind"), F.col(f"a_{c}").alias("actual"), F.col(f"e_{c}").alias("expected"))
-        for c in columns
-    ])
-    out = d.select(*keys, F.explode(F.when(gone.isNotNull(), whole).otherwise(F.filter(cells, lambda c: c["kind"].isNotNull()))).alias("x"))
+        for c in kept
+    ]) if kept else F.filter(whole, lambda _: F.lit(False))
+    out = d.select(*key, F.explode(F.when(gone.isNotNull(), whole).otherwise(F.filter(cells, lambda c: c["kind"].isNotNull()))).alias("x"))
     return out.select(*keys, "x.*")
 
 
-def compare_ranked(actual: DataFrame, expected: DataFrame, by: Sequence[str], tolerance: float = 1e-6, n_ranges: int | None = None) -> DataFrame:
-    """Differences of two tables without a key: rows are paired by rank in the order of ``by`` as texts.
+#: About so many keys are sampled to cut a table into ranges, whatever its size.
+RANGE_SAMPLE = 2_000
+
+
+def with_row_number(d: DataFrame, by: Sequence[Column], n_ranges: int | None = None) -> DataFrame:
+    """``d`` with row_number from 1 in the order of ``by``, ties by all columns as texts, without a global sort.
 
-    Both sides are range-partitioned and ranked in parts; the sizes of earlier parts shift the ranks.
+    Equal rows are one row with a count until the end.  The others are cut into ranges by bounds from a sample drawn
+    by hash, so every evaluation cuts alike; a range is ranked on its own and shifted by the sizes of earlier ones.
+    """
+    columns = d.columns
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns]
+    rows = d.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_key", F.concat(F.array(*by), F.array(*text)))
+    n_ranges = n_ranges or int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = max(1, rows.count() // RANGE_SAMPLE)
+    drawn = sorted(r[0] for r in rows.where(F.pmod(F.xxhash64(F.lit("range"), "_key"), F.lit(every)) == 0).select("_key").collect())
+    bounds = drawn[:: max(1, len(drawn) // n_ranges)][1:]
+    at = F.lit(0)
+    if bounds:
+        cuts = d.sparkSession.createDataFrame([(bounds,)], "_cuts array<array<string>>")
+        rows = rows.join(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col("_key")))).drop("_cuts")
+    else:
+        rows = rows.withColumn("_range", at)
+    sizes = rows.groupBy("_range").agg(F.sum("_n").alias("_size"))
+    sizes = sizes.select("_range", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
+    before = Window.partitionBy("_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("_shift") + F.coalesce(F.sum("_n").over(before), F.lit(0))
+    placed = rows.join(F.broadcast(sizes), "_range").withColumn("_first", first)
+    return placed.select(*columns, F.explode(F.sequence(F.col("_first") + 1, F.col("_first") + F.col("_n"))).alias("row_number"))
+
+
+def compare_ranked(actual: DataFrame, expected: DataFrame, by: Sequence[str] | None = None, tolerance: float = 1e-6, n_ranges: int | None = None) -> DataFrame:
+    """Differences of two tables without a key: rows are paired by rank.
+
+    The order is that of ``by`` as texts; without it, that of each row's values as texts, sorted within the row.
     """
 
     def ranked(d: DataFrame) -> DataFrame:
-        order = [F.col(c).cast("string") for c in by]
-        parts = d.repartitionByRange(n_ranges or int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_p", F.spark_partition_id())
-        sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-        sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        nth = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-        return parts.withColumn("_i", nth).join(F.broadcast(sizes), "_p").withColumn("row_number", F.col("_i") + F.col("_before")).drop("_p", "_i", "_n", "_before")
+        text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+        order = [text(c) for c in by] if by else [F.array_join(F.array_sort(F.array(*[text(c) for c in d.columns])), "\u0000")]
+        return with_row_number(d, order, n_ranges)
 
     return compare_keyed(ranked(actual), ranked(expected), ["row_number"], tolerance)
 
 
+def compare_positions(actual: DataFrame, expected: DataFrame, position: str, tolerance: float = 1e-6) -> DataFrame:
+    """Differences of two tables in their own order: the n-th rows by the column ``position`` are paired."""
+
+    def placed(d: DataFrame) -> DataFrame:
+        width = F.lpad(F.col(position).cast("decimal(38,0)").cast("string"), 39, "0")
+        return with_row_number(d, [width]).drop(position)
+
+    return compare_keyed(placed(actual), placed(expected), ["row_number"], tolerance)
+
+
 def bag_difference(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """(side, rows) with how many rows each table has beyond the other, repeats counted."""
     a = actual.exceptAll(expected).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("actual").alias("side"), "rows")

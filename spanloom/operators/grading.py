@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.scenario import Case, Grader, Scenario, case_specs
 from . import coding_graders as code, content_graders as content, image_graders as image, process_graders as process, rollup, safety_graders as safety
+from .lookups import bounded
 
 #: name -> (scope, factory of a struct column (score, passed, ...) from a config)
 GRADERS: dict[str, tuple[str, Callable[[Mapping], Column]]] = {}
@@ -142,7 +143,7 @@ def _exact(c: Mapping) -> Column:
 
 
 def unscored() -> Column:
-    return F.struct(F.lit(None).cast("double").alias("score"), F.lit(False).alias("passed"))
+    return F.struct(F.lit(None).cast("double").alias("score"), F.lit(False).alias("passed"), F.lit(None).cast("string").alias("error"))
 
 
 def _judge(g: Grader) -> Column:
@@ -152,15 +153,16 @@ def _judge(g: Grader) -> Column:
         return unscored()
     config, threshold = dict(g.config), float(g.config.get("threshold", 0.7))
 
-    @F.pandas_udf("double")
-    def run(prompts: pd.Series) -> pd.Series:
+    @F.pandas_udf("score double, error string")
+    def run(prompts: pd.Series) -> pd.DataFrame:
         try:
-            return pd.Series(ask(prompts, config), dtype="float64")
-        except Exception:  # a judge that fails measures nothing
-            return pd.Series([None] * len(prompts), dtype="float64")
+            return pd.DataFrame({"score": pd.Series(ask(prompts, config), dtype="float64", index=prompts.index), "error": None})
+        except Exception as e:  # a judge that fails measures nothing, and its grades say why
+            return pd.DataFrame({"score": pd.Series([None] * len(prompts), dtype="float64"), "error": f"{type(e).__name__}: {e}"[:500]})
 
-    score = run(F.concat_ws("\n\n", answer(), evidence()))
-    return F.struct(score.alias("score"), F.coalesce(score >= threshold, F.lit(False)).alias("passed"))
+    asked = run(F.concat_ws("\n\n", answer(), evidence()))
+    # the judge's answer is bound once, so it isn't asked for each field
+    return F.transform(F.array(asked), lambda x: F.struct(x["score"].alias("score"), F.coalesce(x["score"] >= threshold, F.lit(False)).alias("passed"), x["error"].alias("error")))[0]
 
 
 def evidence(limit: int = 40) -> Column:
@@ -200,6 +202,7 @@ def _plan(case: Case) -> Column:
         out.append(F.struct(
             F.lit(pos).alias("pos"), F.lit(g.name).alias("name"), F.lit(g.label).alias("label"), F.lit(scope).alias("grader_scope"), F.lit(g.type).alias("grader_type"), F.lit(g.weight).alias("weight"), F.lit(g.required).alias("required"),
             F.lit(g.gate).alias("gate"), F.lit(False).alias("skipped"), graded["score"].alias("score"), F.coalesce(graded["passed"], F.lit(False)).alias("passed"),
+            (graded["error"] if g.type == "model" else F.lit(None).cast("string")).alias("error"),
         ))
     return F.array(*out)
 
@@ -211,7 +214,7 @@ def grade_traces(traces: DataFrame, scenario: Scenario, done: DataFrame | None =
     under the same fingerprint are skipped.
     """
     specs = case_specs(traces.sparkSession, scenario).select("case_id", "fingerprint", "expect")
-    d = traces.join(F.broadcast(specs), traces["task_id"] == specs["case_id"])
+    d = traces.join(bounded(specs), traces["task_id"] == specs["case_id"])
     if done is not None:
         d = d.join(done.select("trace_id", "fingerprint"), ["trace_id", "fingerprint"], "left_anti")
     plans = {c.fingerprint(): c for c in scenario.cases if c.graders}
@@ -246,22 +249,26 @@ def _short_circuited(grades: DataFrame, modes: set[str]) -> DataFrame:
 
 
 def trials(grades: DataFrame, scenario: Scenario, traces: DataFrame) -> DataFrame:
-    """Trial rows: score and verdict of each graded trace, negative cases turned round."""
+    """Trial rows: score and verdict of each graded trace, negative cases turned round.
+
+    An agent that was blocked has passed a negative case; a trace that names an error counts as one that went wrong.
+    """
     out = None
     for threshold, required in {(c.threshold, tuple(c.required_graders)) for c in scenario.cases}:
         fps = [c.fingerprint() for c in scenario.cases if (c.threshold, tuple(c.required_graders)) == (threshold, required)]
         part = rollup.grade_rollup(grades.where(F.col("fingerprint").isin(fps)), threshold, required, ("trace_id", "case_id", "trial_id", "expect"))
         out = part if out is None else out.unionByName(part)
-    t = rollup.invert_negative(out.withColumn("blocked", F.lit(False)))
+    told = traces.select("trace_id", "duration_ms", F.coalesce("blocked", F.lit(False)).alias("blocked"), "error")
+    t = rollup.invert_negative(out.join(told, "trace_id", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False))))
     number = F.row_number().over(Window.partitionBy("case_id").orderBy("trial_id", "trace_id"))
-    return t.join(traces.select("trace_id", "duration_ms"), "trace_id", "left").withColumns({"trial_number": number, "error": F.lit(None).cast("string")})
+    return t.withColumn("trial_number", number)
 
 
 def grade_run(traces: DataFrame, scenario: Scenario) -> dict[str, DataFrame]:
     """grades, trials, cases and the run's row."""
     g = grade_traces(traces, scenario)
     t = trials(g, scenario, traces)
-    c = rollup.case_rollup(t).join(F.broadcast(case_specs(traces.sparkSession, scenario).select("case_id", "category", "tags")), "case_id", "left")
+    c = rollup.case_rollup(t).join(bounded(case_specs(traces.sparkSession, scenario).select("case_id", "category", "tags")), "case_id", "left")
     return {"grades": g, "trials": t, "cases": c, "run": rollup.run_rollup(c)}
 
 
@@ -269,4 +276,4 @@ def unmatched(traces: DataFrame, scenario: Scenario) -> DataFrame:
     """(side, case_id): tasks that are no case, and cases without a trace."""
     specs = case_specs(traces.sparkSession, scenario).select("case_id")
     tasks = traces.select(F.col("task_id").alias("case_id")).distinct()
-    return tasks.join(F.broadcast(specs), "case_id", "left_anti").select(F.lit("trace").alias("side"), "case_id").unionByName(specs.join(tasks, "case_id", "left_anti").select(F.lit("case").alias("side"), "case_id"))
+    return tasks.join(bounded(specs), "case_id", "left_anti").select(F.lit("trace").alias("side"), "case_id").unionByName(specs.join(tasks, "case_id", "left_anti").select(F.lit("case").alias("side"), "case_id"))

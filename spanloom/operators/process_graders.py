@@ -29,9 +29,19 @@ def _grade(score: Column, passed: Column, **more: Column) -> Column:
 
 
 def canonical(json_text: Column, limit: int | None = None) -> Column:
-    """JSON with sorted keys, cut to ``limit`` characters; text that isn't JSON stays as it is."""
+    """JSON with sorted keys, cut to ``limit`` characters; text that isn't JSON stays as it is.
+
+    The limit counts JSON written with a space after each comma and colon, as it usually is.
+    """
     out = F.coalesce(F.to_json(F.try_parse_json(json_text)), json_text)
-    return F.left(out, F.lit(limit)) if limit else out
+    if not limit:
+        return out
+    spaced = F.regexp_replace(F.left(out, F.lit(limit)), _UP_TO_MARK, "$1$2 ")
+    return F.left(F.when(F.try_parse_json(json_text).isNotNull(), spaced).otherwise(out), F.lit(limit))
+
+
+#: Strings and other text up to a comma or colon outside strings; the text may be cut within a string.
+_UP_TO_MARK = r'((?:"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|$)|[^",:])*+)([,:])'
 
 
 def most_repeated(keys: Column) -> Column:

@@ -14,6 +14,7 @@ CALL = "struct<pos:long," + ",".join(f"{k}:{t}" for k, t in CALL_FIELDS.items())
 TRACE_FIELDS = {
     "trace_id": "string", "task_id": "string", "trial_id": "string", "run_id": "string", "source_format": "string", "prompt": "string", "answer": "string",
     "started": "double", "duration_ms": "double", "tool_calls": f"array<{CALL}>", "reasoning": "array<string>", "supports_outcome": "boolean", "metadata": "string",
+    "blocked": "boolean", "error": "string",
 }
 
 

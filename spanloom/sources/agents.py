@@ -15,7 +15,7 @@ FAILED = ("failed", "error", "declined", "cancelled", "incomplete")
 def content_text(v: Column, path: str) -> Column:
     """The text of a content value: itself, or its text blocks by line, images as a mark."""
     value = get(v, path, "variant")
-    blocks = F.transform(items(v, path), lambda b: F.when(F.try_variant_get(b, "$.type", "string") == "image", "[image]").otherwise(F.coalesce(F.try_variant_get(b, "$.text", "string"), F.try_variant_get(b, "$", "string"))))
+    blocks = F.transform(items(v, path), lambda b: F.when(F.try_variant_get(b, "$.type", "string") == "image", "[image]").otherwise(F.coalesce(F.try_variant_get(b, "$.text", "string"), F.when(F.schema_of_variant(b) == "STRING", F.try_variant_get(b, "$", "string")))))
     return F.when(F.schema_of_variant(value) == "STRING", get(v, path)).when(F.size(blocks) > 0, F.array_join(F.filter(blocks, lambda b: b.isNotNull()), "\n"))
 
 
@@ -49,23 +49,27 @@ def _stamp(x: Column) -> Column:
 def active_branch(entries: DataFrame) -> DataFrame:
     """Entries on the path from each session's last entry up to its root by ``parent_id``; all where there is no tree.
 
-    The path is found by doubling: each round joins the marks of ancestors twice as far up.
+    Pointers double: round r marks what lies 2^r above the entries marked so far, and only that one pointer of each
+    entry is kept, so a path of n entries takes log2(n) rounds over as many rows as there are entries.
     """
     keyed = entries.where("id IS NOT NULL").select("file", "id", "parent_id", "pos")
-    leaf = keyed.groupBy("file").agg(F.max_by("id", "pos").alias("id"))
-    up = keyed.select("file", "id", F.col("parent_id").alias("up"))
-    marked = leaf
+    marked = keyed.groupBy("file").agg(F.max_by("id", "pos").alias("id")).persist()
+    up = keyed.where("parent_id IS NOT NULL").select("file", "id", F.col("parent_id").alias("up")).dropDuplicates(["file", "id"]).persist()
     size = marked.count()
     while True:
-        more = marked.join(up, ["file", "id"]).where("up IS NOT NULL").select("file", F.col("up").alias("id")).unionByName(marked).distinct().persist()
+        more = marked.join(up, ["file", "id"]).select("file", F.col("up").alias("id")).unionByName(marked).distinct().persist()
         grown = more.count()
         marked.unpersist()
+        marked = more
         if grown == size:
-            marked = more
+            up.unpersist()
             break
         size = grown
-        farther = up.alias("a").join(up.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("a.up") == F.col("b.id"))).select("a.file", "a.id", F.col("b.up").alias("up")).where("up IS NOT NULL")
-        up, marked = up.unionByName(farther).distinct().persist(), more
+        above = up.select("file", F.col("id").alias("up"), F.col("up").alias("farther"))
+        farther = up.join(above, ["file", "up"]).select("file", "id", F.col("farther").alias("up")).persist()
+        farther.count()
+        up.unpersist()
+        up = farther
     return entries.join(marked, ["file", "id"], "left_semi").unionByName(entries.where("id IS NULL"))
 
 

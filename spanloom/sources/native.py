@@ -46,7 +46,7 @@ def parse_native(values: DataFrame) -> DataFrame:
     traces = d.select(
         "trace_id", get(v, "$.task_id").alias("task_id"), get(v, "$.trial_id").alias("trial_id"), get(v, "$.run_id").alias("run_id"), F.lit("native").alias("source_format"), get(v, "$.input.prompt").alias("prompt"), _answer(v).alias("answer"),
         F.unix_micros(F.try_to_timestamp(get(v, "$.timing.start_time"))).cast("double").alias("_us"), get(v, "$.timing.total_duration_ms", "double").alias("duration_ms"), F.try_variant_get(v, "$.reasoning_steps", "array<string>").alias("reasoning"),
-        F.lit(True).alias("supports_outcome"), F.to_json(get(v, "$.metadata", "variant")).alias("metadata"),
+        F.lit(True).alias("supports_outcome"), F.to_json(get(v, "$.metadata", "variant")).alias("metadata"), F.coalesce(get(v, "$.outcome.blocked", "boolean"), F.lit(False)).alias("blocked"), first_text(_error(v, "$.error"), get(v, "$.metadata.error")).alias("error"),
     ).withColumn("started", F.col("_us") / 1e6)
     return assemble(calls, traces, "i")
 
@@ -66,7 +66,7 @@ def parse_event_log(lines: DataFrame) -> DataFrame:
     first = lambda k, path, t="string": F.min_by(F.when(F.col("kind") == k, get(v, path, t)), F.when(F.col("kind") == k, F.col("pos")))
     traces = d.groupBy("trace_id").agg(
         first("transcript.started", "$.task_id").alias("task_id"), first("transcript.started", "$.trial_id").alias("trial_id"), first("transcript.started", "$.run_id").alias("run_id"), first("transcript.started", "$.input.prompt").alias("prompt"),
-        first("transcript.started", "$.ts", "double").alias("started"), first("transcript.completed", "$.total_duration_ms", "double").alias("duration_ms"), F.min_by("kind", "pos").alias("_head"),
+        first("transcript.started", "$.ts", "double").alias("started"), first("transcript.completed", "$.total_duration_ms", "double").alias("duration_ms"), F.coalesce(first("outcome.set", "$.blocked", "boolean"), F.lit(False)).alias("blocked"), F.min_by("kind", "pos").alias("_head"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "reasoning.step", F.struct(get(v, "$.index", "long").alias("i"), "pos", get(v, "$.step").alias("step"))))).alias("_steps"),
     )
     traces = traces.where("_head = 'transcript.started'").withColumns({"reasoning": F.transform("_steps", lambda s: s["step"]), "source_format": F.lit("event_log"), "supports_outcome": F.lit(False)})
@@ -98,7 +98,7 @@ def events(traces: DataFrame) -> DataFrame:
     steps = F.transform(F.coalesce("reasoning", F.array().cast("array<string>")), lambda s, i: row(t, "reasoning.step", i, js(name("reasoning.step"), t.alias("ts"), i.alias("index"), s.alias("step"))))
     one = F.array(
         row(t, "transcript.started", F.lit(0), js(name("transcript.started"), t.alias("ts"), "task_id", "trial_id", "run_id", F.struct("prompt").alias("input"))),
-        row(end, "outcome.set", F.lit(0), js(name("outcome.set"), end.alias("ts"), F.lit(False).alias("blocked"))),
+        row(end, "outcome.set", F.lit(0), js(name("outcome.set"), end.alias("ts"), F.coalesce("blocked", F.lit(False)).alias("blocked"))),
         row(end, "transcript.completed", F.lit(0), js(name("transcript.completed"), end.alias("ts"), F.col("duration_ms").alias("total_duration_ms"), F.size("tool_calls").alias("tool_call_count"))),
     )
     return traces.select("trace_id", F.posexplode(F.array_sort(F.concat(one, begun, done, steps))).alias("seq", "e")).select("trace_id", "seq", "e.line")
@@ -110,7 +110,7 @@ def write_native(traces: DataFrame, path: str) -> None:
         *[c[k].alias(k) for k in CALL_FIELDS if k not in ("ts", "cost_usd", "input_tokens", "output_tokens", "tokens", "cached_tokens", "model")], c["ts"].alias("timestamp"), F.struct(c["cost_usd"].alias("total_usd")).alias("cost"),
         F.struct(c["input_tokens"].alias("input_tokens"), c["output_tokens"].alias("output_tokens"), c["tokens"].alias("total_tokens"), c["cached_tokens"].alias("cache_read_tokens")).alias("tokens"), F.struct(c["model"].alias("model")).alias("metadata")))
     traces.select(
-        "task_id", "trial_id", "run_id", F.struct("prompt").alias("input"), calls.alias("tool_calls"), F.col("reasoning").alias("reasoning_steps"), F.struct(F.struct(F.col("answer").alias("final_output")).alias("output_data")).alias("outcome"),
+        "task_id", "trial_id", "run_id", F.struct("prompt").alias("input"), calls.alias("tool_calls"), F.col("reasoning").alias("reasoning_steps"), F.struct(F.struct(F.col("answer").alias("final_output")).alias("output_data"), "blocked").alias("outcome"), "error",
         F.struct(F.timestamp_micros((F.col("started") * 1e6).cast("long")).cast("string").alias("start_time"), F.col("duration_ms").alias("total_duration_ms")).alias("timing"),
     ).write.json(path)
 
