@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import json_schema as schema_rules
 from ..functions.scalars import lines, plain_sql, same_value, words
+from .text_formats import schema_udf, structure  # noqa: F401  structure is one of the graders here
 
 
 def _grade(score: Column, passed: Column, **more: Column) -> Column:
@@ -46,18 +48,54 @@ def expected_block(text: Column, contains: Sequence[str] = (), not_contains: Seq
     return _share(checks)
 
 
-def style(text: Column, max_words: int | None = None, min_words: int | None = None, max_lines: int | None = None, required_phrases: Sequence[str] = (), forbidden_phrases: Sequence[str] = (), required_sections: Sequence[str] = (), markdown: bool = False) -> Column:
-    """Check groups of style: length, phrases, sections and Markdown habits; the share of groups without a violation."""
+# Naming conventions, and where the names of each kind stand in code.
+CONVENTIONS = {"snake_case": "^[a-z][a-z0-9]*(_[a-z0-9]+)*$", "camelCase": "^[a-z][a-zA-Z0-9]*$", "PascalCase": "^[A-Z][a-zA-Z0-9]*$", "UPPER_SNAKE_CASE": "^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*$"}
+_NAMED = {
+    "functions": (r"(?:\bdef|\bfunction)\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\(", "^_"), "variables": (r"(?m)^([a-zA-Z_][a-zA-Z0-9_]*)\s*=", "^_|^[^a-z]*[A-Z][^a-z]*$"),
+    "classes": (r"\bclass\s+([a-zA-Z_][a-zA-Z0-9_]*)", None), "constants": (r"(?m)^([A-Z][A-Z0-9_]*)\s*=", None),
+}
+
+
+def misnamed(text: Column, kind: str, convention: str) -> Column:
+    """The names of a kind in code that break a convention; private ones may, and constants are no variables."""
+    pattern, spared = _NAMED[kind]
+    names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.filter(names, lambda n: ~n.rlike(CONVENTIONS[convention]) & (~n.rlike(spared) if spared else F.lit(True)))
+
+
+def markdown_habits(text: Column, require_code_blocks: bool = False, max_heading_level: int = 0, require_lists: bool = False, no_bare_urls: bool = False, consistent_headings: bool = True) -> list[Column]:
+    """Checks of Markdown: code blocks, depth of headings, lists, links in link form, one style of headings."""
+    out = [text.rlike(r"(?s)```.*?```")] if require_code_blocks else []
+    out += [~text.rlike(r"(?m)^#{%d,6}\s" % (max_heading_level + 1))] if 0 < max_heading_level < 6 else []
+    out += [text.rlike(r"(?m)^\s*(?:[-*+]|\d+\.)\s")] if require_lists else []
+    out += [~text.rlike(r"(?<!\]\()(?<!<)https?://[^\s)>\]]+(?![>\]])")] if no_bare_urls else []
+    return out + ([~(text.rlike(r"(?m)^#{1,6}\s") & text.rlike(r"(?m)^[^\n]+\n[=-]{3,}[ \t]*$"))] if consistent_headings else [])
+
+
+def style(text: Column, max_words: int | None = None, min_words: int | None = None, max_lines: int | None = None, required_phrases: Sequence[str] = (), forbidden_phrases: Sequence[str] = (), required_sections: Sequence[str] = (), markdown: bool = False,
+          min_lines: int | None = None, min_length: int | None = None, max_length: int | None = None, section_order: bool = False, case_sensitive: bool = False, required_patterns: Sequence[str] = (), forbidden_patterns: Sequence[str] = (),
+          markdown_checks: Mapping | None = None, naming_conventions: Mapping[str, str] | None = None) -> Column:
+    """Eight check groups of style; the share of groups without a violation."""
     t = F.coalesce(text, F.lit(""))
+    fold = (lambda c: c) if case_sensitive else F.lower
+    phrase = lambda p: F.contains(fold(t), F.lit(p if case_sensitive else p.lower()))
+    found = lambda p: t.rlike(f"(?m){p}")
+    titles = F.transform(sections(t), lambda x: F.lower(x))
+    places = [F.array_position(titles, F.lit(p.lower())) for p in required_sections]
+    ordered = [a < b for a, b in zip(places, places[1:])] if section_order else []
+    length = [size >= n for size, n in ((words(t), min_words), (lines(t), min_lines), (F.length(t), min_length)) if n]
+    length += [size <= n for size, n in ((words(t), max_words), (lines(t), max_lines), (F.length(t), max_length)) if n]
+    habits = [~skips_heading_level(t), F.regexp_count(t, F.lit("```")) % 2 == 0] if markdown else []
     groups: dict[str, Column] = {}
-    length = [words(t) <= max_words] if max_words is not None else []
-    length += [words(t) >= min_words] if min_words is not None else []
-    length += [lines(t) <= max_lines] if max_lines is not None else []
     for name, checks in (
         ("length", length),
-        ("phrases", [F.contains(F.lower(t), F.lit(p.lower())) for p in required_phrases] + [~F.contains(F.lower(t), F.lit(p.lower())) for p in forbidden_phrases]),
-        ("sections", [_has_section(t, p) for p in required_sections]),
-        ("markdown", [~skips_heading_level(t), F.regexp_count(t, F.lit("```")) % 2 == 0] if markdown else []),
+        ("required_phrases", [phrase(p) for p in required_phrases]),
+        ("forbidden_phrases", [~phrase(p) for p in forbidden_phrases]),
+        ("required_patterns", [found(p) for p in required_patterns]),
+        ("forbidden_patterns", [~found(p) for p in forbidden_patterns]),
+        ("sections", [p > 0 for p in places] + ordered),
+        ("markdown", habits + (markdown_habits(t, **markdown_checks) if markdown_checks else [])),
+        ("naming", [F.size(misnamed(t, kind, how)) == 0 for kind, how in (naming_conventions or {}).items()]),
     ):
         if checks:
             ok = checks[0]
@@ -67,10 +105,6 @@ def style(text: Column, max_words: int | None = None, min_words: int | None = No
     return _share(groups)
 
 
-def _has_section(text: Column, title: str) -> Column:
-    return F.exists(sections(text), lambda s: F.lower(s) == title.lower())
-
-
 def sections(text: Column) -> Column:
     """The titles of Markdown headings."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^#{1,6}[ \t]+(.+?)[ \t]*$"), F.lit(1)), lambda s: F.trim(s))
@@ -88,11 +122,15 @@ def skips_heading_level(text: Column) -> Column:
 _JSON_TYPES = {"string": "STRING", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT"}
 
 
-def json_schema(text: Column, schema: Mapping, strict: bool = True, threshold: float = 0.7) -> Column:
-    """A subset of JSON Schema as columns: type, required, properties, enum, const, bounds, lengths, pattern.
+def json_schema(text: Column, schema: Mapping, strict: bool = True, threshold: float = 0.7, allow_additional: bool = True) -> Column:
+    """JSON Schema, Draft 7.  Strict: all or nothing.  Else the weighted share of fields that hold, required ones twice.
 
-    Strict: all or nothing.  Else the weighted share of fields that hold, required ones twice.
+    Schemas of type, required, properties, enum, const, bounds, lengths and pattern are columns; others (items, $ref,
+    combinations, formats, ...) run in Arrow batches.
     """
+    if not (schema_rules.is_plain(schema) and allow_additional):
+        share = schema_udf(schema, allow_additional)(text)
+        return F.transform(F.array(share), lambda x: _grade((x == 1.0).cast("double"), x == 1.0) if strict else _grade(x, x >= threshold))[0]
     checks: list[tuple[float, Column]] = []
 
     # the text is parsed once: what follows is the body of a function of its variant
@@ -135,18 +173,6 @@ def json_schema(text: Column, schema: Mapping, strict: bool = True, threshold: f
     return F.transform(F.array(share), lambda x: _grade((x == 1.0).cast("double"), x == 1.0) if strict else _grade(x, x >= threshold))[0]
 
 
-def structure(text: Column, fmt: str, required: Sequence[str] = ()) -> Column:
-    """Whether a text parses as JSON or XML and holds the required keys (paths) or elements."""
-    if fmt == "json":
-        checks = {"parses": F.try_parse_json(text).isNotNull()} | {k: F.get_json_object(text, f"$.{k}").isNotNull() for k in required}
-    elif fmt == "xml":
-        good = text.rlike(r"(?s)^\s*<([A-Za-z_][\w.-]*)[^>]*>.*</\1>\s*$|^\s*<[A-Za-z_][^>]*/>\s*$")
-        checks = {"parses": good} | {k: text.rlike(rf"<{k}[\s/>]") for k in required}
-    else:
-        raise ValueError(f"unknown format {fmt!r}")
-    return _share(checks)
-
-
 # --- SQL -----------------------------------------------------------------------------------------------------------
 
 # The weight of each finding.

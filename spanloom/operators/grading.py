@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.scenario import Case, Grader, Scenario, case_specs
-from . import coding_graders as code, content_graders as content, image_graders as image, process_graders as process, rollup, safety_graders as safety
+from . import checkers, coding_graders as code, content_graders as content, image_graders as image, judges, process_graders as process, rollup, safety_graders as safety
 from .lookups import bounded
 
 #: name -> (scope, factory of a struct column (score, passed, ...) from a config)
@@ -63,12 +63,13 @@ register_grader("dangerous_operations", "transcript")(lambda c: safety.dangerous
 register_grader("skill_trigger", "transcript")(lambda c: safety.skill_loaded(calls(), **_only(c, skill="skill", should_trigger="should_trigger", acceptable_skills="acceptable", required_resources="resources")))
 register_grader("exact_match")(lambda c: _exact(c))
 register_grader("expected_text")(lambda c: content.expected_block(answer(), **c))
-register_grader("json_schema")(lambda c: content.json_schema(content_json(), **_only(c, **_named("schema", "strict", "threshold"))))
-register_grader("structure_check")(lambda c: content.structure(answer(), **_only(c, format="fmt", required_keys="required")))
-register_grader("style_convention")(lambda c: content.style(answer(), **_only(c, **_named("max_words", "min_words", "max_lines", "required_phrases", "forbidden_phrases", "required_sections", "markdown"))))
+register_grader("json_schema")(lambda c: content.json_schema(content_json(), **_only(c, **_named("schema", "strict", "threshold", "allow_additional"))))
+register_grader("structure_check")(lambda c: content.structure(answer(), **_only(c, format="fmt", required_keys="required", required_elements="elements", schema="schema", extract_from_text="extract")))
+register_grader("style_convention")(lambda c: content.style(answer(), **_only(c, **_named("max_words", "min_words", "max_lines", "required_phrases", "forbidden_phrases", "required_sections", "markdown", "min_lines", "min_length", "max_length", "section_order", "case_sensitive", "required_patterns", "forbidden_patterns", "markdown_checks", "naming_conventions"))))
 register_grader("sql_syntax")(lambda c: content.sql_syntax(_sql(), **_only(c, allowed_statements="allowed", forbidden_keywords="forbidden")))
 register_grader("query_quality")(lambda c: content.query_quality(_sql(), **_only(c, severity_weights="weights", threshold="threshold")))
 register_grader("reasoning_trace", "both")(lambda c: content.reasoning_trace(F.concat_ws("\n", answer(), F.array_join(F.coalesce("reasoning", F.array().cast("array<string>")), "\n")), **_only(c, **_named("indicators", "threshold"))))
+register_grader("external_checker", "both")(lambda c: checkers.external_checker(F.to_json(F.struct("trace_id", "task_id", "trial_id", "prompt", "answer", "tool_calls", "reasoning", "metadata")), c))
 register_grader("exit_code_check")(lambda c: code.exit_code(_meta("execution.exit_code").try_cast("int"), **_only(c, expected="expected")))
 register_grader("test_runner")(lambda c: code.output_patterns(_meta("execution.stdout"), **_only(c, pass_patterns="must", fail_patterns="must_not")))
 register_grader("integration_test")(lambda c: _unleaked(code.integration_test(_meta("execution.stdout"), _meta("execution.exit_code").try_cast("int"), **_only(_without(c, "leak_patterns"), threshold="threshold")), _markers(c)))
@@ -150,7 +151,9 @@ def _judge(g: Grader) -> Column:
     """A judge's verdict on the answer and the evidence; unscored where none is registered or it fails."""
     ask = JUDGES.get(g.name)
     if ask is None:
-        return unscored()
+        if g.name not in judges.CRITERIA and not g.config.get("criteria"):
+            return unscored()
+        return judges.judged(g.name, g.config, answer(), calls(), F.col("reasoning"), F.col("prompt"))
     config, threshold = dict(g.config), float(g.config.get("threshold", 0.7))
 
     @F.pandas_udf("score double, error string")
@@ -184,7 +187,7 @@ LEAK_GRADERS = ("leak_detection", "integration_test")
 def grade_column(g: Grader, leak_markers: Sequence[str] = ()) -> tuple[str, Column]:
     """(scope, struct column) of a grader; a code grader that nobody registered is an error."""
     if g.type == "model":
-        return "outcome", _judge(g)
+        return {"trajectory_judge": "transcript", "groundedness": "both"}.get(g.name, "outcome"), _judge(g)
     if g.name not in GRADERS:
         raise ValueError(f"no grader of the name {g.name!r} is registered")
     scope, make = GRADERS[g.name]
@@ -261,7 +264,8 @@ def trials(grades: DataFrame, scenario: Scenario, traces: DataFrame) -> DataFram
     told = traces.select("trace_id", "duration_ms", F.coalesce("blocked", F.lit(False)).alias("blocked"), "error")
     t = rollup.invert_negative(out.join(told, "trace_id", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False))))
     number = F.row_number().over(Window.partitionBy("case_id").orderBy("trial_id", "trace_id"))
-    return t.withColumn("trial_number", number)
+    wrong = F.col("error").isNotNull()
+    return t.withColumns({"trial_number": number, "passed": F.when(wrong, False).otherwise(F.col("passed")), "score": F.when(~wrong, F.col("score"))})
 
 
 def grade_run(traces: DataFrame, scenario: Scenario) -> dict[str, DataFrame]:

@@ -168,6 +168,10 @@ def loop_detection(calls: Column, max_single: int = 10, max_exact: int = 3, max_
     return _grade(score, ~bad & (score >= 0.5), single_repeats=single, exact_repeats=exact, sequence_repeats=sequence, output_repeats=output)
 
 
+# Words in the call after an error by which an agent shows that it has seen it.
+EXPLAINING = ("error", "fix", "retry", "adjust")
+
+
 def self_correction(calls: Column, max_retries: int = 3, require_recovery: bool = False) -> Column:
     """Errors recovered from by the next call, success in the end, and few immediate repeats of a tool."""
     error = lambda c: c["status"] == "error"
@@ -175,11 +179,12 @@ def self_correction(calls: Column, max_retries: int = 3, require_recovery: bool
     errors = _count(calls, error)
     recovered = F.size(F.filter(pairs, lambda p: error(p["a"]) & ~error(p["b"])))
     retries = F.size(F.filter(pairs, lambda p: p["a"]["tool_name"] == p["b"]["tool_name"]))
+    explained = F.size(F.filter(pairs, lambda p: error(p["a"]) & F.lower(F.coalesce(p["b"]["input"], F.lit(""))).rlike("|".join(EXPLAINING))))
     final = F.when(n > 0, ~error(F.element_at(calls, -1))).otherwise(False)
     patience = F.when(retries <= max_retries, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - (retries - max_retries) / F.lit(float(max_retries))))
     score = (F.when(errors > 0, recovered / errors.cast("double")).otherwise(1.0) + final.cast("double") + patience) / 3
     passed = F.when(F.lit(require_recovery) & (errors > 0), final & (recovered > 0)).otherwise(score >= 0.6)
-    return _grade(score, passed, errors=errors, recoveries=recovered, retries=retries)
+    return _grade(score, passed, errors=errors, recoveries=recovered, retries=retries, explained=explained)
 
 
 def glob_regex(pattern: str) -> str:

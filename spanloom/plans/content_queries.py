@@ -32,8 +32,8 @@ def q35(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.length(t).alias("chars"), s.words(t).alias("words"), s.lines(t).alias("lines"), grade["passed"].alias("fits"))
 
 
-@query("q36_style_phrases", r"""WITH d AS (SELECT doc_id, contains(lower(text), 'the') AND NOT contains(lower(text), 'licensed') AS phrases, len(regexp_extract_all(text, '\S+')) <= 300 AND len(string_split(text, chr(10))) <= 12 AS length FROM documents)
-  SELECT doc_id, round((phrases::INT + length::INT) / 2, 6) AS score, phrases AND length AS passed FROM d""")
+@query("q36_style_phrases", r"""WITH d AS (SELECT doc_id, contains(lower(text), 'the') AS wanted, NOT contains(lower(text), 'licensed') AS unwanted, len(regexp_extract_all(text, '\S+')) <= 300 AND len(string_split(text, chr(10))) <= 12 AS length FROM documents)
+  SELECT doc_id, round((wanted::INT + unwanted::INT + length::INT) / 3, 6) AS score, wanted AND unwanted AND length AS passed FROM d""")
 def q36(spark, sf_dir):
     g = c.style(F.col("text"), max_words=300, max_lines=12, required_phrases=["The"], forbidden_phrases=["Licensed"])
     return rounded(_documents(spark, sf_dir).select("doc_id", g.alias("g")).select("doc_id", "g.score", "g.passed"), "score")

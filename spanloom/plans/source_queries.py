@@ -157,7 +157,7 @@ def q87(spark, sf_dir):
 
 # --- sessions --------------------------------------------------------------------------------------------------------
 
-_TURNS = """SELECT trial_id, 'go' AS prompt, 'say ' || n AS answer, CAST(2 * pos - 1 AS BIGINT) AS pos, 'llm.generation' AS tool_name, 'ok' AS status, CAST(NULL AS VARCHAR) AS output, ms + 2 AS tokens, CAST(pos AS INTEGER) AS turn_index FROM t
+_TURNS = """SELECT trial_id, 'go' AS prompt, 'say ' || n AS answer, CAST(2 * pos - 1 AS BIGINT) AS pos, 'llm.generation' AS tool_name, 'ok' AS status, '' AS output, ms + 2 AS tokens, CAST(pos AS INTEGER) AS turn_index FROM t
   UNION ALL SELECT trial_id, 'go', 'say ' || n, CAST(2 * pos AS BIGINT), tool_name, status, 'r' || pos, NULL, CAST(pos AS INTEGER) FROM t"""
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..schemas import assemble, call, first_text, floored, get, items
 from .files import json_lines, json_values, whole_files
@@ -46,30 +48,30 @@ def _stamp(x: Column) -> Column:
 # --- pi ------------------------------------------------------------------------------------------------------------
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _path_up(leaf: pd.Series, ids: pd.Series, parents: pd.Series) -> pd.Series:
+    """The ids from each leaf up to its root; a cycle ends where it closes, of repeated ids the last counts."""
+
+    def walk(at, ids, parents) -> list[str]:
+        above, path = dict(zip(ids, parents)), {}
+        while at in above and at not in path:
+            path[at] = None
+            at = above[at]
+        return list(path)
+
+    return pd.Series([walk(*x) for x in zip(leaf, ids, parents)])
+
+
 def active_branch(entries: DataFrame) -> DataFrame:
     """Entries on the path from each session's last entry up to its root by ``parent_id``; all where there is no tree.
 
-    Pointers double: round r marks what lies 2^r above the entries marked so far, and only that one pointer of each
-    entry is kept, so a path of n entries takes log2(n) rounds over as many rows as there are entries.
+    A session was one file's text, so its ids fit in one row: the path is one walk, whatever its depth.
     """
     keyed = entries.where("id IS NOT NULL").select("file", "id", "parent_id", "pos")
-    marked = keyed.groupBy("file").agg(F.max_by("id", "pos").alias("id")).persist()
-    up = keyed.where("parent_id IS NOT NULL").select("file", "id", F.col("parent_id").alias("up")).dropDuplicates(["file", "id"]).persist()
-    size = marked.count()
-    while True:
-        more = marked.join(up, ["file", "id"]).select("file", F.col("up").alias("id")).unionByName(marked).distinct().persist()
-        grown = more.count()
-        marked.unpersist()
-        marked = more
-        if grown == size:
-            up.unpersist()
-            break
-        size = grown
-        above = up.select("file", F.col("id").alias("up"), F.col("up").alias("farther"))
-        farther = up.join(above, ["file", "up"]).select("file", "id", F.col("farther").alias("up")).persist()
-        farther.count()
-        up.unpersist()
-        up = farther
+    node = F.array_sort(F.collect_list(F.struct("pos", "id", F.coalesce("parent_id", F.lit("")).alias("up"))))
+    trees = keyed.groupBy("file").agg(F.max_by("id", "pos").alias("leaf"), node.alias("nodes"))
+    path = _path_up("leaf", F.transform("nodes", lambda n: n["id"]), F.transform("nodes", lambda n: n["up"]))
+    marked = trees.select("file", F.explode(path).alias("id"))
     return entries.join(marked, ["file", "id"], "left_semi").unionByName(entries.where("id IS NULL"))
 
 
