@@ -151,3 +151,56 @@ def sweep_params(case_id: Column) -> Column:
     """The parameters of a sweep id as a map of texts; empty for another id."""
     tail = F.when(F.instr(case_id, "__sweep__") > 0, F.substring_index(case_id, "__sweep__", -1))
     return F.coalesce(F.when(tail.isNotNull(), F.str_to_map(tail, F.lit("__"), F.lit("="))), F.create_map().cast("map<string,string>"))
+
+
+def input_strings(json_text: Column, depth: int = 4) -> Column:
+    """All texts in a JSON value down to ``depth`` levels, in the order of their paths' walk by level."""
+    none = F.array().cast("array<string>")
+    values, out = F.array(F.try_parse_json(json_text)), none
+    empty = F.array().cast("array<variant>")
+    for level in range(depth + 1):
+        out = F.concat(out, F.filter(F.transform(values, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))), lambda s: s.isNotNull()))
+        if level < depth:
+            values = F.flatten(F.transform(values, lambda v: F.coalesce(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), F.try_variant_get(v, "$", "array<variant>"), empty)))
+    return F.coalesce(out, none)
+
+
+# What a tool's name says of its type.
+TOOL_TYPES = {"shell": ("bash", "shell", "terminal", "exec", "run_command", "execute_bash"), "file": ("read", "write", "edit", "multiedit", "str_replace", "create", "notebookedit"), "search": ("grep", "glob", "search", "web_search", "websearch"), "web": ("webfetch", "fetch", "browser")}
+
+
+def tool_type(name: Column) -> Column:
+    """The type of a tool by its name: shell, file, search, web, mcp (a server's), llm, else tool."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    out = F.when(low.startswith("llm."), "llm").when(low.startswith("mcp__") | low.startswith("mcp."), "mcp")
+    for kind, names in TOOL_TYPES.items():
+        out = out.when(low.isin(*names), kind)
+    return out.otherwise("tool")
+
+
+def front_matter(text: Column, key: str) -> Column:
+    """A key's value in the front matter of a Markdown text, without quotes; null where there is none."""
+    head = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)\A\uFEFF?---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)", 1)
+    return F.nullif(F.trim(F.regexp_extract(head, rf"""(?m)^{key}[ \t]*:[ \t]*["']?(.*?)["']?[ \t]*$""", 1)), F.lit(""))
+
+
+def skill_name(text: Column, folder: Column) -> Column:
+    """The name that a skill's file gives itself, else its folder's."""
+    return F.coalesce(front_matter(text, "name"), F.regexp_extract(F.regexp_replace(folder, "/+$", ""), "([^/]+)$", 1))
+
+
+def leak_marker(prefix: str, seed: Column) -> Column:
+    """A marker of a prefix and twelve hex digits that the seed decides; a uuid as seed makes it unguessable."""
+    return F.concat(F.lit(prefix + "_"), F.left(F.sha2(seed.cast("string"), 256), F.lit(12)))
+
+
+def billable_input(input_tokens: Column, cache_read: Column, cache_creation: Column) -> Column:
+    """Input tokens with those read from and written to a cache; null where none is known."""
+    parts = (input_tokens, cache_read, cache_creation)
+    return F.when(F.coalesce(*parts).isNotNull(), sum((F.coalesce(p, F.lit(0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0))))
+
+
+def common_value(value: Column) -> Column:
+    """An aggregate: the one value that all non-empty values share, null where there are several or none."""
+    v = F.nullif(value, F.lit(""))
+    return F.when(F.min(v) == F.max(v), F.max(v))

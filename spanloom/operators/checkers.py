@@ -51,9 +51,9 @@ def check(command: list[str], payload: str, env: Mapping[str, str], timeout: flo
 
 def external_checker(trace: Column, config: Mapping) -> Column:
     """Grade ``trace`` (JSON) by the program of config's ``command``."""
-    if not _ALLOWED[0]:
-        raise PermissionError("external_checker runs a program: call allow_programs() first")
-    command = config["command"]
+    command = config.get("command")
+    if not _ALLOWED[0] or not command:
+        raise ValueError("external_checker runs a program: it needs a command, and allow_programs() to be called first")
     command = [command] if isinstance(command, str) else list(command)
     env = {f"CONFIG_{k.upper()}": v if isinstance(v, str) else json.dumps(v) for k, v in config.items() if k not in ("command", "timeout")}
     timeout = float(config.get("timeout", TIMEOUT))

@@ -41,7 +41,7 @@ def canonical(json_text: Column, limit: int | None = None) -> Column:
 
 
 #: Strings and other text up to a comma or colon outside strings; the text may be cut within a string.
-_UP_TO_MARK = r'((?:"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|$)|[^",:])*+)([,:])'
+_UP_TO_MARK = r'\G((?:"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|$)|[^",:])*+)([,:])'
 
 
 def most_repeated(keys: Column) -> Column:

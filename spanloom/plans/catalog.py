@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content_queries, process_queries, report_queries, rollup_queries, safety_queries, source_queries  # noqa: F401  they register themselves
+from . import content_queries, process_queries, report_queries, rollup_queries, safety_queries, source_queries, more_queries  # noqa: F401  they register themselves
 from .registry import QUERIES, SQL
 
 

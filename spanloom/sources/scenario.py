@@ -61,6 +61,33 @@ class Scenario:
         keep = [c for c in self.cases if (not ids or c.id in ids) and (not categories or c.category in categories) and (not stages or c.stage in stages) and (not tags or set(tags) & set(c.tags))]
         return Scenario(self.name, keep)
 
+    def split(self) -> tuple[Scenario, Scenario]:
+        """(the cases that should pass, the negative ones)."""
+        return tuple(Scenario(self.name, [c for c in self.cases if (c.expect == "fail") is negative]) for negative in (False, True))
+
+    def as_dict(self) -> dict:
+        """The scenario as ``from_dict`` reads it, defaults and sweeps resolved into its cases."""
+
+        def case(c: Case) -> dict:
+            own = {k: getattr(c, k) for k in ("id", "expect", "category", "stage", "tags", "trials", "input", "leak_markers") if getattr(c, k)}
+            rules = {"pass_threshold": c.threshold, "required_graders": c.required_graders, "short_circuit": c.short_circuit}
+            return {**own, "aggregation": rules, "graders": [dict(g.__dict__) for g in c.graders]}
+
+        return {"name": self.name, "cases": [case(c) for c in self.cases]}
+
+
+def save(scenario: Scenario, path: str) -> None:
+    """Write a scenario as YAML that ``load`` reads back to the same cases."""
+    import yaml
+
+    Path(path).write_text(yaml.safe_dump(scenario.as_dict(), sort_keys=False, allow_unicode=True), encoding="utf-8")
+
+
+def coding_suite(name: str, cases: Mapping[str, Mapping], graders: tuple[Mapping, ...] = ({"name": "exit_code_check"},)) -> Scenario:
+    """A scenario of coding tasks: ``cases`` by id with prompt and files (path to content); an exit code decides where nothing else does."""
+    made = [{"id": i, "input": {"prompt": c.get("prompt", ""), "files": [{"path": p, "content": t} for p, t in (c.get("files") or {}).items()]}, "tags": list(c.get("tags") or []), "graders": list(c.get("graders") or graders)} for i, c in cases.items()]
+    return from_dict({"name": name, "cases": made})
+
 
 def _grader(d: Mapping) -> Grader:
     unknown = set(d) - {"name", "type", "label", "weight", "required", "gate", "creates", "config"}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schemas import get
@@ -61,9 +62,25 @@ def prices(spark: SparkSession, table: Mapping[str, Mapping[str, float]]) -> Dat
     return spark.createDataFrame(rows, "model string, input double, output double, cached double")
 
 
+def _yaml_as_json():
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        import yaml
+
+        def one(t: str | None) -> str | None:
+            try:
+                return json.dumps(yaml.safe_load(t or ""), default=str)
+            except yaml.YAMLError:
+                return None
+
+        return texts.map(one)
+
+    return run
+
+
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    """A price file, JSON: model to prices."""
-    v = F.try_parse_json("content")
+    """A price file, JSON or YAML: model to prices."""
+    v = F.coalesce(F.try_parse_json("content"), F.try_parse_json(_yaml_as_json()("content")))
     d = whole_files(spark, path).select(F.explode(F.try_variant_get(v, "$", "map<string,variant>")).alias("model", "p"))
     p = F.col("p")
     pick = lambda *n: F.coalesce(*[get(p, f"$.{x}", "double") for x in n])

@@ -105,7 +105,7 @@ def test_programs_as_graders(spark, monkeypatch):
     config = {"command": [sys.executable, "-c", "import json,sys; sys.exit(json.load(sys.stdin)['answer'] != 'good')"]}
     scenario = Scenario(name="s", cases=[Case(id="c", graders=[Grader(name="external_checker", config=config)])])
     d = traces(spark, [{"trace_id": "1", "task_id": "c", "trial_id": "1", "answer": "good"}, {"trace_id": "2", "task_id": "c", "trial_id": "2", "answer": "bad"}])
-    with pytest.raises(PermissionError):
+    with pytest.raises(ValueError, match="external_checker"):
         grade_traces(d, scenario)
     monkeypatch.setattr(checkers, "_ALLOWED", [True])
     assert {r.trace_id: (r.score, r.passed) for r in grade_traces(d, scenario).collect()} == {"1": (1.0, True), "2": (0.0, False)}
@@ -169,3 +169,21 @@ def test_broadcast_bounds(spark):
     with pytest.raises(ValueError):
         bounded(spark.createDataFrame([("x" * 2000,)], "t string"), 10, 1000)
     assert bounded(spark.range(3)).count() == 3 and files.detect(F.lit("x")) is not None
+
+
+def test_scenario_sink_split_and_suite(tmp_path):
+    from spanloom.sources.scenario import coding_suite, from_dict, load, save
+
+    s = from_dict({"name": "n", "default_graders": [{"name": "exact_match", "config": {"expected": "é"}}], "cases": [{"id": "a", "tags": ["x"], "trials": 3}, {"id": "b", "expect": "fail", "aggregation": {"pass_threshold": 0.5}, "leak_markers": ["m"]}]})
+    save(s, str(tmp_path / "s.yaml"))
+    assert load(str(tmp_path / "s.yaml")) == s
+    assert [[c.id for c in x.cases] for x in s.split()] == [["a"], ["b"]]
+    suite = coding_suite("c", {"t1": {"prompt": "p", "files": {"a.py": "x"}}, "t2": {"graders": [{"name": "lint"}]}})
+    assert [c.graders[0].name for c in suite.cases] == ["exit_code_check", "lint"] and suite.cases[0].input["files"] == [{"path": "a.py", "content": "x"}]
+
+
+def test_yaml_prices(spark, tmp_path):
+    from spanloom.sources.store import read_prices
+
+    (tmp_path / "p.yaml").write_text("m:\n  input: 1\n  output: 2.5\nn: {prompt: 3}\n")
+    assert sorted(map(tuple, read_prices(spark, f"file://{tmp_path}/p.yaml").collect())) == [("m", 1.0, 2.5, None), ("n", 3.0, None, None)]
