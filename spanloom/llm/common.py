@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.partitions import spread
 
-__all__ = ["buckets_for", "forget", "keep", "lookup", "salted_rank", "scratch_root", "spread", "table"]
+__all__ = ["buckets_for", "forget", "forget_since", "free_shuffles", "keep", "lookup", "salted_rank", "scratch_mark", "scratch_root", "spread", "table"]
 
 _SCRATCH: dict[str, list[str]] = {}
 
@@ -65,6 +65,27 @@ def forget(df: DataFrame) -> None:
         _SCRATCH.get(df.sparkSession.sparkContext.applicationId, []).remove(path)
 
 
+def scratch_mark(spark: SparkSession) -> int:
+    """Where the list of scratch tables stands now."""
+    return len(_SCRATCH.get(spark.sparkContext.applicationId, []))
+
+
+def forget_since(spark: SparkSession, mark: int, but: DataFrame) -> None:
+    """Delete the scratch tables made since a mark, but for one."""
+    for path in _SCRATCH.get(spark.sparkContext.applicationId, [])[mark:]:
+        if path != but._scratch_path:
+            _delete(spark, path)
+            _SCRATCH[spark.sparkContext.applicationId].remove(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries now, and not when the driver next collects its garbage.
+
+    Long chains of steps call it where a large shuffle has just been written out to a scratch table.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def _sweep(spark: SparkSession, app: str) -> None:
     for path in _SCRATCH.pop(app, []):
         try:

@@ -13,16 +13,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import forget, keep, spread
+from .common import forget, free_shuffles, keep, spread
 from .components import connected_components
 
 WIDTH = 5
 #: The least similarity as a fraction, so that no rounding decides.
 LEAST = (4, 5)
-#: Texts sampled for the order (a sixteenth of them, if that is more), and common shingles told to every task.
-SAMPLE, COMMON = 20_000, 200_000
-#: Neighbours in a bucket that the first round looks at, and candidates of a text that it tests.
+#: One in so many texts is sampled for the order, at every size alike; common shingles told to every task.
+SAMPLED, COMMON = 4, 200_000
+#: Neighbours in a bucket that the first round looks at, and candidates of a text that a round tests at first.
 NEAR, TESTS = 4, 8
+#: Bits of the filter that tells which texts are candidates.
+FILTER_BITS = 1 << 24
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -42,8 +44,7 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(sorted shingles, how many sampled texts hold each) of the commonest shingles of a sample."""
-    share = max(1 / 16, min(1.0, SAMPLE / max(1, docs.count())))
-    drawn = docs.where(F.pmod(F.xxhash64(F.lit("order"), "id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
+    drawn = docs.where(F.pmod(F.xxhash64(F.lit("order"), "id"), F.lit(SAMPLED)) == 0)
 
     def batches(it):
         for b in it:
@@ -52,6 +53,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     counts = spread(drawn).mapInArrow(batches, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
     top = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).toPandas().sort_values("shingle")
+    free_shuffles(docs.sparkSession)
     return top["shingle"].to_numpy(dtype=np.int64), top["n"].to_numpy(dtype=np.int64)
 
 
@@ -80,32 +82,86 @@ def _prefixes(docs: DataFrame) -> DataFrame:
     return spread(docs).mapInArrow(batches, "shingle long, id long, n int, pos int")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, own): the whole sets of the texts whose ids hash like one of ``ids``; texts themselves are never shuffled.
+
+    A bitmap of FILTER_BITS hashes, of one size whatever the input, leaves out nearly all others; the joins that follow
+    leave out the rest.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1  # bitmap functions count from 1
+    maps = ids.select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in maps.collect():  # FILTER_BITS / 32,768 rows of 4 KB at most
+        at = (r["bucket"] - 1) * 4096
+        bits[at : at + 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
     def batches(it):
+        held = shared.value
         for b in it:
+            h = b.column("h").to_numpy()
+            b = b.filter(pa.array((held[h >> 3] >> (h & 7)) & 1 == 1))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingles(t.as_py()) for t in b.column("text")], type=pa.list_(pa.int64()))], names=["id", "own"])
 
-    return docs.mapInArrow(batches, "id long, own array<long>")
+    return docs.select("id", "text", (place - 1).alias("h")).mapInArrow(batches, "id long, own array<long>")
+
+
+def _fits(x: str, y: str):
+    """Whether two rows of a bucket can be similar: from the first shingle they share, all that can follow must be enough."""
+    left = F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos"))
+    return sum(LEAST) * left >= LEAST[0] * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
+def _prefix_length(n):
+    return n - F.ceil(n * LEAST[0] / LEAST[1]) + 1
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    """(src, dst, shared): pairs (x, y) of bucket rows that can be similar by all prefix shingles they share.
+
+    Of two prefixes the one that ends first in the order is decided: what it shares with the other text, it shares with
+    the other prefix.  So no more can be shared than that and all behind the prefix.
+    """
+    first = F.col("x.id") < F.col("y.id")
+    pick = lambda c, turn: F.when(first != F.lit(turn), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
+    ends = pairs.select(pick("id", False).alias("src"), pick("id", True).alias("dst"), pick("n", False).alias("n"), pick("n", True).alias("m"), _fits("x", "y").alias("fits"))
+    d = ends.groupBy("src", "dst", "n", "m").agg(F.count(F.lit(1)).alias("shared"), F.max("fits").alias("fits")).where("fits")
+    n, m, a = F.col("n"), F.col("m"), F.col("shared")
+    most = a + F.greatest(F.least(n - _prefix_length(n), m - a), F.least(m - _prefix_length(m), n - a))
+    return d.where(sum(LEAST) * most >= LEAST[0] * (n + m)).select("src", "dst", "shared")
+
+
+def _neighbours(buckets: DataFrame) -> DataFrame:
+    """(src, dst, shared): each row of a bucket with the next NEAR in the order of sizes, without a join.
+
+    Only pairs that are neighbours in most buckets come out; the others wait for ``_across``.
+    """
+    order, row = Window.partitionBy("shingle").orderBy("n", "id"), F.struct("id", "n", "pos")
+    d = buckets.select("shingle", "id", "n", row.alias("x"), *[F.lead(row, i + 1).over(order).alias(f"y{i}") for i in range(NEAR)])
+    d = d.select("x", F.explode(F.array(*[f"y{i}" for i in range(NEAR)])).alias("y")).where("y IS NOT NULL")
+    return _counted(d)
+
 
+def _across(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(src, dst, shared): pairs of a bucket that can be similar enough and are in no component together.
 
-def _candidates(buckets: DataFrame, roots: DataFrame | None, near: int | None) -> DataFrame:
-    """(src, dst, shared): pairs of a bucket that can be similar enough and are in no component together."""
-    b = buckets.withColumn("root", F.col("id")) if roots is None else buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    x, y = (b.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "pos", "nth", "root")]) for side in "xy")
-    # of the first shingle that two texts share, all that can follow it must be enough
-    left = 1 + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) - 1
-    on = (x.shingle == y.shingle) & (F.col("nth_x") < F.col("nth_y")) & (F.col("root_x") != F.col("root_y"))
-    on = on & (sum(LEAST) * left >= LEAST[0] * (F.col("n_x") + F.col("n_y")))
-    if near is not None:
-        on = on & (F.col("nth_y") - F.col("nth_x") <= near)
-    pairs = x.hint("merge").join(y, on).select(F.least("id_x", "id_y").alias("src"), F.greatest("id_x", "id_y").alias("dst"))
-    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("shared"))
+    Buckets of one component are left out; in the others, only rows outside the largest component meet the rest, so a
+    large group of near copies costs its bucket's size and not its square.
+    """
+    b = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = b.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("k"))
+    major = sizes.groupBy("shingle").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+    b = b.join(major, "shingle").select("shingle", "root", "major", F.struct("id", "n", "pos").alias("row"))
+    x, y = b.where("root <> major").alias("l"), b.alias("r")
+    once = (F.col("r.root") == F.col("r.major")) | (F.col("l.row.id") < F.col("r.row.id"))
+    on = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.root") != F.col("r.root")) & once
+    return _counted(x.hint("merge").join(y, on).select(F.col("l.row").alias("x"), F.col("r.row").alias("y")))
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
-    ids = pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id"))).distinct()
-    sets = keep(_sets(docs.join(ids, "id", "left_semi")), "similar-sets")
+    ids = pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id")))
+    sets = keep(_sets(docs, ids), "similar-sets")
     both = pairs.join(sets.select(F.col("id").alias("src"), F.col("own").alias("a")), "src").join(sets.select(F.col("id").alias("dst"), F.col("own").alias("b")), "dst")
     holds = sum(LEAST) * F.size(F.array_intersect("a", "b")) >= LEAST[0] * (F.size("a") + F.size("b"))
     out = keep(both.where(holds).select("src", "dst"), "similar-links")
@@ -116,26 +172,29 @@ def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame) -> DataFrame:
     """(id, group) of each of ``docs(id, text)``, ids unique, that has a near copy; group is its component's least id."""
     docs = docs.select("id", "text")
-    bucket = Window.partitionBy("shingle")
-    found = _prefixes(docs).withColumns({"nth": F.row_number().over(bucket.orderBy("n", "id")), "size": F.count(F.lit(1)).over(bucket)})
+    found = _prefixes(docs).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("shingle")))
     buckets = keep(found.where("size > 1").drop("size"), "similar-buckets")
+    free_shuffles(docs.sparkSession)
     tested = roots = links = None
-    near, tests = NEAR, TESTS
+    tests = TESTS
     while True:
-        pairs = _candidates(buckets, roots, near)
+        pairs = _neighbours(buckets) if roots is None else _across(buckets, roots)
         if tested is not None:
             pairs = pairs.join(tested, ["src", "dst"], "left_anti")
         # those that share most come first; what is left waits until the components are known
         pairs = keep(pairs.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("shared"), "dst"))), "similar-pairs")
-        waiting = near is not None or not pairs.where(F.col("rank") > tests).isEmpty()
+        waiting = roots is None or not pairs.where(F.col("rank") > tests).isEmpty()
         now = keep(pairs.where(F.col("rank") <= tests).select("src", "dst"), "similar-tested")
         forget(pairs)
         new = _confirmed(docs, now)
+        free_shuffles(docs.sparkSession)
         links = new if links is None else links.unionByName(new)
         tested = now if tested is None else tested.unionByName(now)
-        roots = connected_components(links)
+        roots, old = connected_components(links), roots
+        if old is not None:
+            forget(old)
         if not waiting:
             break
-        near, tests = None, tests * 4
+        tests = tests if old is None else tests * 4
     forget(buckets)
     return roots.select(F.col("node").alias("id"), F.col("root").alias("group"))
