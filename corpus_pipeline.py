@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from spanloom.llm.common import keep
+from spanloom.llm.common import forget, forget_since, free_shuffles, keep, scratch_mark
 from spanloom.llm.langid import recognised, train
 from spanloom.llm.mixing import LEVELS, TARGETS, domain_of, mix, word_count
 from spanloom.llm.packing import pack
@@ -44,17 +44,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return recognised(docs.select(*COLUMNS), model)
 
 
-def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _one_of_each_component(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the documents that stay after op1's links, the scratch table that they are read from)."""
     numbered = _numbered(docs)
     found = near_duplicates(numbered.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
     ids = numbered.select("row", "doc_id").join(found, "row")
     first = ids.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    return numbered.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").select(*COLUMNS)
+    return numbered.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").select(*COLUMNS), numbered
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _one_of_each_component(docs)[0]
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each SimHash component, then one of each component of five-word similarity 0.8 among those."""
-    numbered = _numbered(near_duplicate(spark, docs, sf_dir))
+    kept, behind = _one_of_each_component(docs)
+    numbered = _numbered(kept)
+    forget(behind)
+    free_shuffles(spark)
     found = similar_groups(numbered.select(F.col("row").alias("id"), "text")).withColumnRenamed("id", "row")
     grouped = numbered.select("row", "doc_id").join(found, "row")
     first = F.row_number().over(Window.partitionBy("group").orderBy(F.col("doc_id").asc_nulls_last(), "row"))
@@ -92,5 +100,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the whole documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        mark, before = scratch_mark(spark), docs
         docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget_since(spark, mark, docs)  # what the stage needed on its way
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
