@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.partitions import cut, merged
 from ..operators.lookups import nearest_ancestor
 from ..schemas import assemble, call, first_text, floored, get
 from .files import json_values, whole_files
@@ -27,12 +28,12 @@ def parse_openai_agents(values: DataFrame) -> DataFrame:
     names = [c for c in d.columns if c not in ("trace_id", "id")]
     d = d.groupBy("trace_id", "id").agg(F.max_by(F.struct(*names), "pos").alias("x")).select("trace_id", "id", "x.*").withColumn("s", F.parse_json("span"))
     s, key = F.col("s"), F.concat_ws("/", "trace_id", "id")
-    nodes = d.select(key.alias("id"), F.when(F.col("parent").isNotNull(), F.concat_ws("/", "trace_id", "parent")).alias("parent"), "kind")
+    nodes = cut(d.select(key.alias("id"), F.when(F.col("parent").isNotNull(), F.concat_ws("/", "trace_id", "parent")).alias("parent"), "kind"))  # else every walk would parse the spans anew
     turn = nearest_ancestor(nodes, F.col("kind") == "turn").select(F.col("id").alias("_key"), F.col("ancestor").alias("_turn"))
     agent = nearest_ancestor(nodes, F.col("kind") == "agent").select(F.col("id").alias("_key"), F.col("ancestor").alias("_agent"))
     turns = d.where("kind = 'turn'").select(key.alias("_turn"), get(s, "$.span_data.turn", "int").alias("turn_index"), get(s, "$.span_data.agent_name").alias("turn_agent"))
     agents = d.where("kind = 'agent'").select(key.alias("_agent"), get(s, "$.span_data.name").alias("agent_name"))
-    made = d.where(F.col("kind").isin(*MODEL_SPANS, "function")).withColumn("_key", key).join(turn, "_key", "left").join(agent, "_key", "left").join(turns, "_turn", "left").join(agents, "_agent", "left")
+    made = d.where(F.col("kind").isin(*MODEL_SPANS, "function")).withColumn("_key", key).join(merged(turn), "_key", "left").join(merged(agent), "_key", "left").join(merged(turns), "_turn", "left").join(merged(agents), "_agent", "left")
     is_model = F.col("kind") != "function"
     error = first_text(get(s, "$.error.message"), get(s, "$.error"))
     calls = made.select("trace_id", F.coalesce("start", F.lit(0.0)).alias("_start"), F.col("id").alias("_id"), *call(
