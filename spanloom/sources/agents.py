@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..functions.partitions import merged
 from ..schemas import assemble, call, first_text, floored, get, items
 from .files import json_lines, json_values, whole_files
 
@@ -199,12 +200,12 @@ def parse_atif(values: DataFrame, max_depth: int = 8) -> DataFrame:
     top = values.where(get(v, "$.schema_version").startswith("ATIF")).select(F.col("file").alias("trace_id"), "v", F.lit(None).cast("string").alias("agent"), F.array(F.lit(0)).alias("at"), F.array(F.coalesce(get(v, "$.session_id"), F.lit(""))).alias("seen"))
     levels, level = [top], top
     for _ in range(max_depth):
-        subs = level.select("trace_id", "at", "seen", F.posexplode(items(v, "$.steps")).alias("n", "s"), items(v, "$.subagent_trajectories").alias("embedded"))
+        subs = level.where(F.size(items(v, "$.subagent_trajectories")) > 0).select("trace_id", "at", "seen", F.posexplode(items(v, "$.steps")).alias("n", "s"), items(v, "$.subagent_trajectories").alias("embedded"))
         refs = subs.select("trace_id", F.concat("at", F.array(F.col("n"))).alias("at"), "seen", "embedded", F.explode(F.flatten(F.transform(items(F.col("s"), "$.observation.results"), lambda o: F.coalesce(F.try_variant_get(o, "$.subagent_trajectory_ref", "array<variant>"), F.array().cast("array<variant>"))))).alias("ref"))
         refs = refs.withColumn("id", get(F.col("ref"), "$.session_id")).where(~F.array_contains("seen", F.col("id")))
         down = refs.select("trace_id", "at", F.concat("seen", F.array("id")).alias("seen"), F.explode(F.filter("embedded", lambda e: F.try_variant_get(e, "$.session_id", "string") == F.col("id"))).alias("v"))
         level = down.select("trace_id", "v", get(v, "$.agent.name").alias("agent"), "at", "seen")
-        if not level.take(1):
+        if level.limit(1).count() == 0:  # one job over all partitions; take() would go through them in turns
             break
         levels.append(level)
     every = levels[0]
@@ -223,13 +224,13 @@ def parse_atif(values: DataFrame, max_depth: int = 8) -> DataFrame:
     asked = steps.select("trace_id", "at", "agent", "turn", "ts", "s", F.posexplode(items(s, "$.tool_calls")).alias("i", "b")).select("trace_id", "at", "i", "agent", "turn", "ts", get(b, "$.tool_call_id").alias("id"), get(b, "$.function_name").alias("name"), F.to_json(get(b, "$.arguments", "variant")).alias("input"))
     seen = steps.select("trace_id", "at", F.posexplode(items(s, "$.observation.results")).alias("k", "b")).select("trace_id", "at", "k", get(b, "$.source_call_id").alias("id"), content_text(b, "$.content").alias("out"))
     seen = seen.groupBy("trace_id", "at", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "out"))), lambda x: x["out"]), "\n").alias("out"))
-    tools = asked.join(seen, ["trace_id", "at", "id"], "left").select("trace_id", "at", "i", *call(tool_name=F.col("name"), ts=F.col("ts"), call_id=F.col("id"), input=F.col("input"), output=F.col("out"), tool_type=F.lit("tool"), turn_index=F.col("turn"), agent_name=F.col("agent")))
+    tools = asked.join(merged(seen), ["trace_id", "at", "id"], "left").select("trace_id", "at", "i", *call(tool_name=F.col("name"), ts=F.col("ts"), call_id=F.col("id"), input=F.col("input"), output=F.col("out"), tool_type=F.lit("tool"), turn_index=F.col("turn"), agent_name=F.col("agent")))
     root = steps.where(F.size("at") == 2)
     ends = root.groupBy("trace_id").agg(
         F.min("ts").alias("started"), ((F.max("ts") - F.min("ts")) * 1000).alias("duration_ms"), F.min_by(content_text(s, "$.message"), F.when(F.col("source") == "user", F.col("n"))).alias("prompt"), F.max_by(first_text(content_text(s, "$.message")), F.when((F.col("source") == "agent") & first_text(content_text(s, "$.message")).isNotNull(), F.col("n"))).alias("answer"),
         F.filter(F.transform(F.array_sort(F.collect_list(F.struct("n", get(s, "$.reasoning_content").alias("t")))), lambda x: x["t"]), lambda x: x.isNotNull()).alias("reasoning"),
     )
-    traces = top.select("trace_id", get(v, "$.session_id").alias("trial_id"), get(v, "$.session_id").alias("task_id"), F.to_json(F.struct(get(v, "$.agent.name").alias("agent"), get(v, "$.agent.version").alias("version"))).alias("metadata")).join(ends, "trace_id", "left")
+    traces = top.select("trace_id", get(v, "$.session_id").alias("trial_id"), get(v, "$.session_id").alias("task_id"), F.to_json(F.struct(get(v, "$.agent.name").alias("agent"), get(v, "$.agent.version").alias("version"))).alias("metadata")).join(merged(ends), "trace_id", "left")
     return assemble(llm.unionByName(tools), traces.withColumns({"source_format": F.lit("atif"), "supports_outcome": F.lit(True)}), "at", "i")
 
 
