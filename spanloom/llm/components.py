@@ -1,8 +1,8 @@
 """Connected components of an edge table, wholly distributed.
 
-Every round hooks each node and its current root to the smallest root among its neighbours and then jumps
-pointers, so paths shrink geometrically.  Labels only ever fall; the sum of labels tells when a round changed
-nothing.  Only that sum reaches the driver.
+Every round takes each node to the least of itself and its neighbours, follows these pointers to their ends by
+doubling, and keeps the edges between different ends only: a dense group is one node after a round, so its edges
+are read once.  At least half of the nodes that still have edges go in a round.  Only sums of labels reach the driver.
 """
 
 from __future__ import annotations
@@ -19,27 +19,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     e = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst")
     e = keep(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "cc-edges")
-    labels = keep(e.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("root")), "cc-labels")
-    total = _total(labels)
+    labels = None
     for _ in range(max_rounds):
-        if total is None:
-            break
-        near = (
-            e.join(labels.withColumnRenamed("node", "dst"), "dst")
-            .groupBy(F.col("src").alias("node"))
-            .agg(F.min("root").alias("near"))
-        )
-        seen = labels.join(near, "node")
-        hooked = seen.select("node", F.least("root", "near").alias("root")).unionByName(
-            seen.where("near < root").select(F.col("root").alias("node"), F.col("near").alias("root"))
-        )
-        hooked = keep(hooked.groupBy("node").agg(F.min("root").alias("root")), "cc-hooked")
-        above = hooked.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = keep(hooked.join(above, "root").select("node", F.col("above").alias("root")), "cc-labels")
-        forget(hooked)
-        forget(labels)
-        labels, before, total = jumped, total, _total(jumped)
-        if total == before:
+        roots = _jumped(keep(e.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("root")), "cc-roots"))
+        if labels is None:
+            labels = roots
+        else:
+            above = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            labels, old = keep(labels.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "cc-labels"), labels
+            forget(old)
+        ends = e.join(roots.select(F.col("node").alias("src"), F.col("root").alias("s")), "src").join(roots.select(F.col("node").alias("dst"), F.col("root").alias("d")), "dst")
+        e, old = keep(ends.where("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct(), "cc-edges"), e
+        forget(old)
+        if roots is not labels:
+            forget(roots)
+        if e.isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
@@ -47,5 +41,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return labels
 
 
+def _jumped(roots: DataFrame) -> DataFrame:
+    """``roots(node, root)``, each node's root a smaller node or itself, with the end of each node's path instead."""
+    total = _total(roots)
+    while total is not None:
+        above = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        jumped = keep(roots.join(above, "root").select("node", F.col("above").alias("root")), "cc-roots")
+        forget(roots)
+        roots, before, total = jumped, total, _total(jumped)
+        if total == before:
+            break
+    return roots
+
+
 def _total(labels: DataFrame):
     return labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
